@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,3 +22,13 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return deco
+
+
+def r6(x: Column | str) -> Column:
+    """Rounded to six places for the comparison with SQL; the tiny shift keeps ties from rounding differently."""
+    return F.round((F.col(x) if isinstance(x, str) else x) + F.lit(1e-10), 6)
+
+
+def s6(x: str) -> str:
+    """The same in SQL."""
+    return f"round(CAST({x} AS DOUBLE) + 1e-10, 6)"
