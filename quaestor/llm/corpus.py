@@ -32,3 +32,12 @@ def distinct_texts(df: DataFrame) -> DataFrame:
         .groupBy("tbl", "row_key", F.xxhash64("text").alias("text_id"))
         .agg(F.first("text").alias("text"), F.first("course_id", ignorenulls=True).alias("course_id"))
     )
+
+
+def text_sample(df: DataFrame, text: str, expected: int) -> DataFrame:
+    """About ``expected`` rows of ``df`` (never more than twice as many), chosen by the hash of the text alone: the same
+    rows at any partitioning. Only for fitting; taken before anything costly is computed."""
+    n = df.count()
+    h = F.xxhash64(F.col(text))
+    some = df if n <= expected else df.where(F.pmod(h, F.lit(1_000_000)) < max(1, round(1e6 * expected / n)))
+    return some.withColumn("_h", h).orderBy("_h").limit(2 * expected).drop("_h")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.text import count_in, ratio, txt
 from quaestor.llm import gbt
+from quaestor.llm.corpus import text_sample
 from quaestor.llm.holdout import PROSE_OR_NOT
 
 # The commonest English function words.
@@ -87,30 +88,27 @@ def weak_label() -> Column:
     return F.when(prose, 0).when(junk & (c("n_words") >= 5), 1)
 
 
-def fit(stats: DataFrame, sample: int = 4000) -> gbt.Boosted:
-    """Trees fitted on at most ``sample`` weakly labelled rows (half of either class, lowest text hashes first, so the
-    same rows at any partitioning) and calibrated on the hand-checked holdout. Fewer than two classes: the holdout
-    itself is the training set."""
-    spark = stats.sparkSession
-    labelled = stats.select(*FEATURES, weak_label().alias("label"), F.xxhash64(*FEATURES).alias("_h")).where("label is not null")
-    halves = [labelled.where(F.col("label") == k).orderBy("_h").limit(sample // 2) for k in (0, 1)]
-    rows = halves[0].unionByName(halves[1]).toPandas()
+def fit(df: DataFrame, text: str = "text", sample: int = 8000) -> gbt.Boosted:
+    """Trees fitted on about ``sample`` rows (at most twice as many), those of them that get a weak label, and calibrated
+    on the hand-checked holdout. Where a class has under 20 rows the holdout is trained on as well."""
+    spark = df.sparkSession
+    some = with_stats(text_sample(df.where(F.length(text) > 0).select(text), text, sample), text)
+    rows = some.select(*FEATURES, weak_label().alias("label")).toPandas().dropna()
     hold = with_stats(spark.createDataFrame([(t, y) for t, y in PROSE_OR_NOT], "text string, label int")).select(*FEATURES, "label").toPandas()
     hx, hy = hold[FEATURES].to_numpy(float), hold["label"].to_numpy(float)
     x, y = rows[FEATURES].to_numpy(float), rows["label"].to_numpy(float)
-    if len(np.unique(y)) < 2:
-        x, y = hx, hy
+    if min(y.sum(), len(y) - y.sum()) < 20:
+        x, y = np.vstack([x.reshape(-1, len(FEATURES)), hx]), np.concatenate([y, hy])
     return gbt.fit(x, y, FEATURES).calibrate(hx, hy)
 
 
-def score(df: DataFrame, text: str = "text", sample: int = 4000) -> DataFrame:
+def score(df: DataFrame, text: str = "text", sample: int = 8000) -> DataFrame:
     """``df`` with its statistics and ``p_structural``, the calibrated chance that the text is list, table or junk.
 
-    Blank texts get null. The fit reads ``df`` once, in a job of its own.
-    """
-    stats = with_stats(df, text)
-    model = fit(stats, sample)
-    return stats.withColumn("p_structural", F.when(F.col("n_words") > 0, model.column()).otherwise(F.when(F.trim(txt(F.col(text))) != "", F.lit(1.0))))
+    Blank texts get null; texts of symbols alone get 1."""
+    model = fit(df, text, sample)
+    p = with_stats(df, text).withColumn("p_structural", model.column())
+    return p.withColumn("p_structural", F.when(F.col("n_words") > 0, F.col("p_structural")).otherwise(F.when(F.trim(txt(F.col(text))) != "", F.lit(1.0))))
 
 
 def structural(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
