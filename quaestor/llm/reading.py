@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import count_in, ratio, txt
+from quaestor.llm.corpus import text_sample
 from quaestor.llm.holdout import GRADED
 
 # Connectives and words that open a subordinate clause.
@@ -119,21 +120,16 @@ def fit_ordinal(x: np.ndarray, level: np.ndarray, weight: np.ndarray, l2: float
     return Ordinal(mean, scale, p[:d], p[d] + np.concatenate([[0], np.cumsum(gaps)]))
 
 
-def fit(feats: DataFrame, common: list[str], sample: int = 4000) -> Ordinal:
-    """Fits on at most ``sample`` weakly graded rows (an equal share of each band, lowest hashes first) and the graded
-    passages, which together weigh a third; the outer cut points are then moved between the graded passages on either
-    side where these can be told apart."""
-    spark = feats.sparkSession
+def fit(df: DataFrame, common: list[str], text: str = "text", sample: int = 8000) -> Ordinal:
+    """Fits on about ``sample`` rows (at most twice as many), those of them that get a weak grade, each band weighing the
+    same, and on the graded passages, which together weigh a third; the outer cut points are then moved between the
+    graded passages on either side where these can be told apart."""
+    spark = df.sparkSession
     level = F.lit(0)
     for c in LEVELS:
         level = level + F.when(F.col("grade") > c, 1).otherwise(0)
-    graded = feats.withColumn("grade", formula_grade()).where("grade is not null").select(*FEATURES, level.alias("level"), F.xxhash64(*FEATURES).alias("_h"))
-    share = sample // (len(LEVELS) + 1)
-    parts = [graded.where(F.col("level") == k).orderBy("_h").limit(share) for k in range(len(LEVELS) + 1)]
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x)
-    rows = rows.toPandas()
+    feats = with_features(text_sample(df.where(F.length(text) > 0).select(text), text, sample), common, text)
+    rows = feats.withColumn("grade", formula_grade()).where("grade is not null").select(*FEATURES, level.alias("level")).toPandas()
     own = with_features(spark.createDataFrame([(float(g), t) for g, t in GRADED], "grade double, text string"), common).withColumn("level", level).select(*FEATURES, "level", "grade").toPandas()
     x = np.vstack([rows[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), own[FEATURES].to_numpy(float)])
     y = np.concatenate([rows["level"].to_numpy(int), own["level"].to_numpy(int)])
@@ -148,11 +144,11 @@ def fit(feats: DataFrame, common: list[str], sample: int = 4000) -> Ordinal:
     return model
 
 
-def score(df: DataFrame, text: str = "text", sample: int = 4000) -> DataFrame:
+def score(df: DataFrame, text: str = "text", sample: int = 8000) -> DataFrame:
     """``df`` with features, ``level`` (0 easiest to 4 hardest), ``p_easy`` and ``p_hard``; null for blank texts."""
     common = common_words(df, text)
     feats = with_features(df, common, text)
-    model = fit(feats, common, sample)
+    model = fit(df, common, text, sample)
     f = model.column()
     cuts = [float(c) for c in model.cuts]
     level = F.lit(0)
@@ -165,7 +161,7 @@ def score(df: DataFrame, text: str = "text", sample: int = 4000) -> DataFrame:
     )
 
 
-def bands(df: DataFrame, text: str = "text", sample: int = 4000) -> DataFrame:
+def bands(df: DataFrame, text: str = "text", sample: int = 8000) -> DataFrame:
     """The rows that lie clearly at one end, with ``band`` `easy` or `hard`. Texts of fewer than five words have none."""
     x = score(df, text, sample).where(F.col("n_words") >= 5)
     return x.withColumn("band", F.when(F.col("level") == 0, "easy").when(F.col("level") == len(LEVELS), "hard")).where("band is not null")
