@@ -69,8 +69,9 @@ def normalised(line: Column) -> Column:
     x = F.when(x.rlike("@|://|www"), F.regexp_replace(x, r"(https?://|www\.)\S+|\S+@\S+\.\S+", "<addr>")).otherwise(x)
     dates = F.regexp_replace(x, r"\b\d{4}-\d{1,2}-\d{1,2}([t ]\d{1,2}:\d{2}(:\d{2})?)?|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<date>")
     ids = F.regexp_replace(dates, r"\b(?=[a-z]*\d)[a-z0-9]{6,}\b|(?<=_)[a-z0-9]*\d[a-z0-9]{3,}", "#")
-    x = F.when(x.rlike("[0-9]"), F.regexp_replace(ids, r"\d+([.,:]\d+)*", "#")).otherwise(x)
-    return F.trim(F.regexp_replace(x, WS, " "))
+    # dates and ids tell messages apart, which are short; in a long line it is enough to mask the digits
+    x = F.when(~x.rlike("[0-9]"), x).when(F.length(x) > 400, F.regexp_replace(x, "[0-9]+", "#")).otherwise(F.regexp_replace(ids, r"\d+([.,:]\d+)*", "#"))
+    return F.when(x.rlike(r"[\s\p{Z}]{2}|[\t\u00a0]|^\s|\s$"), F.trim(F.regexp_replace(x, WS, " "))).otherwise(x)
 
 
 def has_unfilled_placeholder(text: Column) -> Column:
@@ -88,7 +89,9 @@ def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         F.col(key).alias("doc_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.explode(F.split(txt(F.col(text)), r"\r?\n")).alias("line")
     )
     one = one.where(F.trim("line") != "").withColumn("norm", normalised(F.col("line")))
-    ws = F.regexp_extract_all("norm", F.lit(r"[\p{L}#]+"), F.lit(0))
+    # counting blanks will do for the words of a long line, unless it may be filler
+    plain = (F.length("norm") > 400) & ~F.col("norm").contains("lorem") & ~F.col("norm").contains("ipsum") & ~F.col("norm").contains("dolor")
+    ws = F.when(plain, F.split("norm", " ")).otherwise(F.regexp_extract_all("norm", F.lit(r"[\p{L}#]+"), F.lit(0)))
     n = F.size("ws")
     latin = F.size(F.filter("ws", lambda w: w.isin(*LATIN)))
     c = F.col("norm")
