@@ -83,7 +83,7 @@ def elements(df: DataFrame, path: str) -> DataFrame:
     x = df.select(identity(c, kind).alias("parent_id"), F.posexplode(c.getField(last)).alias("pos", "e")).where("parent_id is not null")
     value = F.col("e")
     if isinstance(element, T.StructType):
-        value = F.struct(*[F.col("e").getField(f.name).alias(f.name) for f in element.fields if _is_scalar(f.dataType)])
+        value = F.when(F.col("e").isNotNull(), F.struct(*[F.col("e").getField(f.name).alias(f.name) for f in element.fields if _is_scalar(f.dataType)]))
     rows = x.select("parent_id", (F.col("pos") + 1).cast("int").alias("ordinal"), identity(F.col("e"), element).alias("child_id"), value.alias("value"))
     return rows.groupBy("parent_id", "ordinal").agg(F.first("child_id").alias("child_id"), F.first("value").alias("value"))
 
