@@ -1,4 +1,4 @@
-"""The texts of the project as one long table (tbl, row_key, course_id, text)."""
+"""The texts of the project as keys and distinct texts."""
 
 from __future__ import annotations
 
@@ -9,29 +9,20 @@ from quaestor.functions.text import strip
 from quaestor.runtime import table
 
 
-def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """questions_raw.text and records.context.course_content; rows without key or text are left out.
-
-    Rows that arrive twice give one row: the key of the duplicate elimination is (tbl, row_key, text), so a hot
-    course or file never meets in one task.
-    """
-    q = table(spark, sf_dir, "questions_raw").select(F.lit("questions_raw").alias("tbl"), F.col("q_id").alias("row_key"), "course_id", "text")
-    r = table(spark, sf_dir, "records").select(
-        F.lit("records").alias("tbl"),
-        F.col("question.id").alias("row_key"),
-        F.col("question.metadata.course_id").alias("course_id"),
-        F.col("context.course_content").alias("text"),
-    )
-    return distinct_texts(q.unionByName(r))
-
-
-def distinct_texts(df: DataFrame) -> DataFrame:
-    """One row per (tbl, row_key, text) with non-blank text and a key."""
-    return (
-        df.where(F.col("row_key").isNotNull() & (strip(F.col("text")) != ""))
-        .groupBy("tbl", "row_key", F.xxhash64("text").alias("text_id"))
-        .agg(F.first("text").alias("text"), F.first("course_id", ignorenulls=True).alias("course_id"))
-    )
+def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_key, text): questions_raw.text and records.context.course_content."""
+    q = table(spark, sf_dir, "questions_raw").select(F.lit("questions_raw").alias("tbl"), F.col("q_id").alias("row_key"), "text")
+    r = table(spark, sf_dir, "records").select(F.lit("records").alias("tbl"), F.col("question.id").alias("row_key"), F.col("context.course_content").alias("text"))
+    return q.unionByName(r)
+
+
+def keys_and_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tbl, row_key, text_id), distinct, and (text_id, text), every different text once.
+
+    Rows without key or with a blank text are left out. A text that many rows share is one row of the second table, so
+    whatever is costly runs once per text; the partial aggregation drops copies before the shuffle."""
+    x = rows.where(F.col("row_key").isNotNull() & (strip(F.col("text")) != "")).withColumn("text_id", F.md5("text"))
+    return x.select("tbl", "row_key", "text_id").distinct(), x.groupBy("text_id").agg(F.first("text").alias("text"))
 
 
 def text_sample(df: DataFrame, text: str, expected: int) -> DataFrame:

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from quaestor.functions.text import is_blank
 from quaestor.llm import leak, neardup, packing, quality, reading, residue, scan_repair
-from quaestor.llm.corpus import distinct_texts, item_texts
+from quaestor.llm.corpus import item_rows, keys_and_texts
 from quaestor.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.structural(item_texts(spark, sf)).select("tbl", "row_key").distinct()
+    keys, texts = keys_and_texts(item_rows(spark, sf))
+    return keys.join(quality.structural(texts).select("text_id"), "text_id").select("tbl", "row_key").distinct()
 
 
 def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    """The statistics alone, by table and kind of text, over all texts."""
-    x = quality.with_stats(item_texts(spark, sf))
+    """The statistics alone, by table, over the text of every key."""
+    keys, texts = keys_and_texts(item_rows(spark, sf))
+    x = keys.join(quality.with_stats(texts).select("text_id", "n_words", "end_punct_share", "symbol_ratio"), "text_id")
     return x.groupBy("tbl").agg(
         F.count("*").alias("texts"), F.sum(F.col("n_words").cast("long")).alias("words"), F.round(F.avg("end_punct_share"), 6).alias("end_punct_share"), F.round(F.avg("symbol_ratio"), 6).alias("symbol_ratio")
     )
@@ -36,46 +38,46 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.col("key").alias("q_id"), "class_id", "n_copies", "n_links")
 
 
-def _prose(spark: SparkSession, sf: str) -> DataFrame:
-    scored = quality.score(item_texts(spark, sf))
-    return cut(scored.where(F.col("p_structural") < 0.5).select("tbl", "row_key", "text_id", "text"))
+def _prose(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Keys, and the texts that are neither list, table nor junk."""
+    keys, texts = keys_and_texts(item_rows(spark, sf))
+    return keys, cut(quality.score(texts).where(F.col("p_structural") < 0.5).select("text_id", "text"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    prose = _prose(spark, sf)
-    fixed = scan_repair.repair(prose.select("text_id", "text"))
-    each = fixed.select(
-        "text_id",
-        F.explode(F.concat(F.transform("words", lambda w: F.struct(F.lit("word").alias("kind"), w.alias("fixed"))), F.transform("lines", lambda x: F.struct(F.lit("line").alias("kind"), x.alias("fixed"))))).alias("f"),
-    )
-    return prose.select("tbl", "row_key", "text_id").join(each, "text_id").select("tbl", "row_key", "f.kind", "f.fixed").distinct()
+    keys, prose = _prose(spark, sf)
+    word = F.transform("words", lambda w: F.struct(F.lit("word").alias("kind"), w.alias("fixed")))
+    line = F.transform("lines", lambda x: F.struct(F.lit("line").alias("kind"), x.alias("fixed")))
+    each = scan_repair.repair(prose).select("text_id", F.explode(F.concat(word, line)).alias("f"))
+    return keys.join(each, "text_id").select("tbl", "row_key", "f.kind", "f.fixed").distinct()
 
 
 def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """The repaired text of every row, continuous and without page lines."""
-    prose = _prose(spark, sf)
-    return prose.select("tbl", "row_key", "text_id").join(scan_repair.repair(prose.select("text_id", "text")), "text_id").select("tbl", "row_key", "repaired")
+    keys, prose = _prose(spark, sf)
+    return keys.join(scan_repair.repair(prose).select("text_id", "repaired"), "text_id").select("tbl", "row_key", "repaired")
 
 
-def _fields(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "records")
+def _fields(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pair = F.explode(
         F.array(
             F.struct(F.lit("question").alias("tbl"), F.col("question.text").alias("text")),
             F.struct(F.lit("content").alias("tbl"), F.col("context.course_content").alias("text")),
         )
     )
-    return distinct_texts(r.select(F.col("question.id").alias("row_key"), F.col("question.metadata.course_id").alias("course_id"), pair.alias("x")).select("row_key", "course_id", "x.tbl", "x.text"))
+    return keys_and_texts(table(spark, sf, "records").select(F.col("question.id").alias("row_key"), pair.alias("x")).select("row_key", "x.tbl", "x.text"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    scored = quality.score(_fields(spark, sf)).where(F.col("p_structural") < 0.5).select("tbl", "row_key", "text")
-    return reading.bands(cut(scored)).select(F.col("row_key").alias("question_id"), F.col("tbl").alias("field"), "band").distinct()
+    keys, texts = _fields(spark, sf)
+    prose = cut(quality.score(texts).where(F.col("p_structural") < 0.5).select("text_id", "text"))
+    return keys.join(reading.bands(prose).select("text_id", "band"), "text_id").select(F.col("row_key").alias("question_id"), F.col("tbl").alias("field"), "band").distinct()
 
 
 def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
     """How many texts of each field have each level."""
-    return reading.score(_fields(spark, sf)).groupBy(F.col("tbl").alias("field"), "level").agg(F.count("*").alias("texts"))
+    keys, texts = _fields(spark, sf)
+    return keys.join(reading.score(texts).select("text_id", "level"), "text_id").groupBy(F.col("tbl").alias("field"), "level").agg(F.count("*").alias("texts"))
 
 
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:

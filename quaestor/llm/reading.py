@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quaestor.functions.text import count_in, ratio, txt
 from quaestor.llm.corpus import text_sample
 from quaestor.llm.holdout import GRADED
+from quaestor.runtime import cut
 
 # Connectives and words that open a subordinate clause.
 CONNECTIVES = (
@@ -30,9 +31,10 @@ RARE_BELOW = 5e-4  # a word is common when it makes up this share of all words:
 
 def common_words(df: DataFrame, text: str = "text") -> list[str]:
     """The words that make up at least ``RARE_BELOW`` of all words of all texts. By counting, there are at most 2,000."""
-    counts = df.select(F.explode(F.regexp_extract_all(F.lower(txt(F.col(text))), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("t"))
-    return [r[0] for r in counts.join(F.broadcast(total), F.col("c") >= F.col("t") * RARE_BELOW).select("w").orderBy("w").collect()]
+    words = F.explode(F.regexp_extract_all(F.lower(txt(F.col(text))), F.lit("[a-z]+"), F.lit(0)))
+    counts = cut(df.select(words.alias("w")).groupBy("w").agg(F.count("*").alias("c")))
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    return [r[0] for r in counts.where(F.col("c") >= total * RARE_BELOW).select("w").orderBy("w").collect()]
 
 
 def with_features(df: DataFrame, common: list[str], text: str = "text") -> DataFrame:
