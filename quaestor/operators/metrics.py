@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 from quaestor import lexicons as L
 from quaestor.functions.text import alpha_words, count_in, ngrams, ratio, sentence_parts, strip, txt, word_runs, ws_tokens
 
-TOKENS = ["_w", "_wr", "_tok", "_syl", "_parts", "_strip"]
-
-
 def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds the shared token views once; every metric reads these."""
     t = F.col(text)
     x = df.withColumns({"_t": txt(t), "_strip": strip(t), "_w": alpha_words(t), "_wr": word_runs(t), "_tok": ws_tokens(t), "_parts": sentence_parts(t)})
-    return x.withColumn("_syl", F.transform("_w", lambda w: F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(w, "e+$", ""), F.lit("[aeiou]+")))))
+    long_parts = F.filter("_parts", lambda p: F.size(F.regexp_extract_all(p, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) > 2)
+    x = x.withColumns(
+        {
+            "_syl": F.transform("_w", lambda w: F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(w, "e+$", ""), F.lit("[aeiou]+")))),
+            "_low": F.lower("_t"),
+            "_n": F.size("_w"),
+            "_words": F.size(F.filter("_tok", lambda x: x.rlike(r"[\p{L}\p{N}]"))),
+            "_sents": F.greatest(F.lit(1), F.size(long_parts)),
+        }
+    )
+    return x.withColumns({"_nsyl": F.aggregate("_syl", F.lit(0), lambda p, q: p + q), "_poly": F.size(F.filter("_syl", lambda y: y >= 3))})
 
 
 @dataclass(frozen=True)
@@ -55,7 +62,7 @@ def _c(name: str) -> Column:
 
 
 def _n() -> Column:
-    return F.size("_w")
+    return F.col("_n")
 
 
 def down(x: Column) -> Column:
@@ -66,10 +73,6 @@ def capped(x: Column, top: float) -> Column:
     return F.least(F.lit(1.0), x / top)
 
 
-def total(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda p, q: p + q)
-
-
 # readability: counts -------------------------------------------------------------------------------------------------
 @metric("word_count", "readability", 0.1)
 def word_count(max_words: float = 50.0):
@@ -88,7 +91,7 @@ def avg_word_length(max_avg_chars: float = 10.0):
 
 @metric("avg_syllables", "readability", 0.3)
 def avg_syllables(max_avg_syllables: float = 4.0):
-    return down(ratio(total(_c("_syl")), _n()) / max_avg_syllables)
+    return down(ratio(_c("_nsyl"), _n()) / max_avg_syllables)
 
 
 @metric("long_word_ratio", "readability", 0.5)
@@ -103,16 +106,16 @@ def type_token_ratio():
 
 # readability: grade formulas -----------------------------------------------------------------------------------------
 def _words() -> Column:
-    return F.size(F.filter("_tok", lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    return F.col("_words")
 
 
 def _sentences() -> Column:
     """Parts of more than two words, at least one."""
-    return F.greatest(F.lit(1), F.size(F.filter("_parts", lambda p: F.size(F.regexp_extract_all(p, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) > 2)))
+    return F.col("_sents")
 
 
 def _poly() -> Column:
-    return F.size(F.filter("_syl", lambda y: y >= 3))
+    return F.col("_poly")
 
 
 def _grade(raw: Column, top: float) -> Column:
@@ -121,13 +124,13 @@ def _grade(raw: Column, top: float) -> Column:
 
 @metric("flesch_ease", "readability", 0.3)
 def flesch_ease():
-    raw = 206.835 - 1.015 * ratio(_words(), _sentences()) - 84.6 * ratio(total(_c("_syl")), _words())
+    raw = 206.835 - 1.015 * ratio(_words(), _sentences()) - 84.6 * ratio(_c("_nsyl"), _words())
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw / 100.0))
 
 
 @metric("flesch_kincaid", "readability", 0.2)
 def flesch_kincaid(max_grade: float = 18.0):
-    return _grade(0.39 * ratio(_words(), _sentences()) + 11.8 * ratio(total(_c("_syl")), _words()) - 15.59, max_grade)
+    return _grade(0.39 * ratio(_words(), _sentences()) + 11.8 * ratio(_c("_nsyl"), _words()) - 15.59, max_grade)
 
 
 @metric("gunning_fog", "readability", 0.2)
@@ -192,7 +195,7 @@ def question_mark():
 
 @metric("negation_rate", "well_formedness", 0.5)
 def negation_rate(max_count: float = 2.0):
-    return down((F.regexp_count(F.lower("_t"), F.lit(r"n't\b")) + count_in(_c("_w"), L.NEGATIONS)) / max_count)
+    return down((F.regexp_count(F.col("_low"), F.lit(r"n't\b")) + count_in(_c("_w"), L.NEGATIONS)) / max_count)
 
 
 @metric("has_verb", "well_formedness", 0.5)
@@ -263,10 +266,10 @@ def openendedness():
 
 @metric("sqp_score", "response_burden", 0.5)
 def sqp_score():
-    parts = F.filter(F.split(F.lower("_t"), r"\b(?:and|or)\b"), lambda p: F.size(F.regexp_extract_all(p, F.lit("[a-z]+"), F.lit(0))) >= 4)
+    parts = F.filter(F.split(F.col("_low"), r"\b(?:and|or)\b"), lambda p: F.size(F.regexp_extract_all(p, F.lit("[a-z]+"), F.lit(0))) >= 4)
     has = lambda words: F.exists("_w", lambda w: w.isin(*words))
     cost = lambda cond, k: F.when(cond, F.lit(L.SQP_WEIGHTS[k])).otherwise(0.0)
-    penalty = cost(F.size(parts) >= 3, "double_barrel") + cost(F.lower("_t").rlike("|".join(L.LEADING)), "leading") + cost(has(L.LOADED), "loaded") + cost(has(L.VAGUE), "vague")
+    penalty = cost(F.size(parts) >= 3, "double_barrel") + cost(F.col("_low").rlike("|".join(L.LEADING)), "leading") + cost(has(L.LOADED), "loaded") + cost(has(L.VAGUE), "vague")
     return down(penalty)
 
 
@@ -274,13 +277,13 @@ def sqp_score():
 def multipart_question(max_extra: float = 2.0):
     """Question marks and part markers; the third heuristic of the definition needs a tagger and is left out."""
     marks = F.length("_t") - F.length(F.replace("_t", F.lit("?"), F.lit("")))
-    parts = F.greatest(F.lit(1), marks, F.regexp_count(F.lower("_t"), F.lit(L.PART_MARKER)) + 1)
+    parts = F.greatest(F.lit(1), marks, F.regexp_count(F.col("_low"), F.lit(L.PART_MARKER)) + 1)
     return down((parts - 1) / max_extra)
 
 
 @metric("stem_complexity", "response_burden", 0.3)
 def stem_complexity(max_words: float = 40.0, max_preamble: float = 20.0, max_clauses: float = 4.0):
-    before = F.get(F.split(F.lower("_t"), L.WH_AUX, 2), F.lit(0))
+    before = F.get(F.split(F.col("_low"), L.WH_AUX, 2), F.lit(0))
     preamble = F.size(F.regexp_extract_all(before, F.lit("[a-z]+"), F.lit(0)))
     commas = F.length("_t") - F.length(F.replace("_t", F.lit(","), F.lit("")))
     clauses = count_in(_c("_wr"), L.SUBORDINATORS) + F.greatest(F.lit(0), commas - 1)
@@ -291,7 +294,7 @@ def stem_complexity(max_words: float = 40.0, max_preamble: float = 20.0, max_cla
 @metric("pii_risk", "privacy_risk", 0.7)
 def pii_risk(max_density: float = 0.3):
     """The pattern layer; names and organisations need an entity annotator and count 0 without one."""
-    low = F.lower("_t")
+    low = F.col("_low")
     hits = F.regexp_count("_t", F.lit(L.EMAIL)) + F.regexp_count("_t", F.lit(L.PHONE)) + F.regexp_count("_t", F.lit(L.SSN)) + F.regexp_count(low, F.lit(L.IDENT))
     return down(hits / F.greatest(F.lit(1), _n()) / max_density)
 
@@ -303,14 +306,14 @@ def _any_word(words: list[str]) -> Column:
 @metric("k_anonymity_risk", "privacy_risk", 0.5)
 def k_anonymity_risk(k: float = 5.0, population: float = 10000.0):
     one = lambda c: F.when(c, 1).otherwise(0)
-    attributes = one(F.lower("_t").rlike(L.AGE)) + one(_any_word(L.GENDER_K)) + one(_any_word(L.MEDICAL_K))
+    attributes = one(F.col("_low").rlike(L.AGE)) + one(_any_word(L.GENDER_K)) + one(_any_word(L.MEDICAL_K))
     return F.least(F.lit(1.0), F.greatest(F.lit(1.0), population / F.pow(F.lit(2.0), attributes)) / k)
 
 
 @metric("dp_epsilon_risk", "privacy_risk", 0.5)
 def dp_epsilon_risk(max_epsilon: float = 20.0):
     bits = lambda c, k: F.when(c, L.DP_BITS[k]).otherwise(0.0)
-    eps = bits(F.lower("_t").rlike(L.AGE), "age_specific") + bits(_any_word(L.GENDER_DP), "gender") + bits(_any_word(L.MEDICAL_DP), "medical_condition")
+    eps = bits(F.col("_low").rlike(L.AGE), "age_specific") + bits(_any_word(L.GENDER_DP), "gender") + bits(_any_word(L.MEDICAL_DP), "medical_condition")
     return down(eps / max_epsilon)
 
 
