@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import count_in, ratio, txt
+from quaestor.functions.text import count_in, ratio, strip, txt
 from quaestor.llm import gbt
 from quaestor.llm.corpus import text_sample
 from quaestor.llm.holdout import PROSE_OR_NOT
@@ -53,7 +53,7 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     )
     words, lines = F.col("_words"), F.col("_lines")
     n = F.size(words)
-    letters = F.transform(lines, lambda x: F.size(F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    length = F.transform(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")))
     solid = F.length(F.regexp_replace(t, r"\s+", ""))
 
     def inside(part: Column) -> Column:
@@ -70,11 +70,11 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
         "end_punct_share": _share(lines, lambda x: x.rlike(r"[.!?:;,][\"')]?\s*$")),
         "common_share": ratio(count_in(words, COMMON), n),
         "words_per_line": ratio(n, F.size(lines)),
-        "short_line_share": _share(letters, lambda k: k <= 5),
-        "odd_word_share": _share(words, lambda w: w.rlike("[bcdfghjklmnpqrstvwxz]{5}|^[bcdfghjklmnpqrstvwxz]{3,}$|[a-z][0-9]+[a-z]")),
+        "short_line_share": _share(length, lambda k: k <= 6),
+        "odd_word_share": F.least(F.lit(1.0), ratio(F.regexp_count(F.lower(t), F.lit(r"[bcdfghjklmnpqrstvwxz]{5}|\b[bcdfghjklmnpqrstvwxz]{3,}\b|[a-z][0-9]+[a-z]")), n)),
         "sentence_word_share": ratio(F.aggregate(F.transform(F.col("_parts"), inside), F.lit(0), lambda a, b: a + b), n),
         "marker_share": _share(lines, lambda x: x.rlike(r"^\s*([-*•◦·‣–]|\(?[0-9a-z]{1,3}[.)]|[#|+])\s*")),
-        "number_share": _share(words, lambda w: w.rlike("^[0-9]+$")),
+        "number_share": F.least(F.lit(1.0), ratio(F.regexp_count(t, F.lit(r"\b[0-9]+\b")), n)),
         "distinct_share": ratio(F.size(F.array_distinct(words)), n),
     }
     return staged.withColumns(feats).drop("_lines", "_words", "_parts", "_raw", "_all", "_body")
@@ -83,7 +83,7 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
 def weak_label() -> Column:
     """1 not prose, 0 prose, null where the rules abstain."""
     c = F.col
-    prose = (c("sentence_word_share") >= 0.6) & (c("common_share") >= 0.05) & (c("odd_word_share") < 0.1) & (c("number_share") < 0.3)
+    prose = (c("sentence_word_share") >= 0.6) & (c("common_share") >= 0.03) & (c("odd_word_share") < 0.1) & (c("number_share") < 0.3)
     junk = (c("sentence_word_share") <= 0.15) & ((c("short_line_share") >= 0.7) | (c("common_share") <= 0.05) | (c("odd_word_share") >= 0.25) | (c("number_share") >= 0.5))
     return F.when(prose, 0).when(junk & (c("n_words") >= 5), 1)
 
@@ -108,7 +108,7 @@ def score(df: DataFrame, text: str = "text", sample: int = 8000) -> DataFrame:
     Blank texts get null; texts of symbols alone get 1."""
     model = fit(df, text, sample)
     p = with_stats(df, text).withColumn("p_structural", model.column())
-    return p.withColumn("p_structural", F.when(F.col("n_words") > 0, F.col("p_structural")).otherwise(F.when(F.trim(txt(F.col(text))) != "", F.lit(1.0))))
+    return p.withColumn("p_structural", F.when(F.col("n_words") > 0, F.col("p_structural")).otherwise(F.when(strip(F.col(text)) != "", F.lit(1.0))))
 
 
 def structural(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
