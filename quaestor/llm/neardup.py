@@ -76,7 +76,6 @@ def similar_classes(reps: DataFrame, threshold: float = 0.75) -> DataFrame:
     signature = F.pandas_udf(_signature, "posts array<long>, low long, high long").asNondeterministic()
     signed = reps.select("set_id", signature("words").alias("s"))
     posts = signed.select("set_id", F.col("s.low").alias("low"), F.col("s.high").alias("high"), F.explode("s.posts").alias("post"))
-    posts = posts.repartition("post")
     left = posts.select(F.col("set_id").alias("id_a"), F.col("low").alias("low_a"), F.col("high").alias("high_a"), "post")
     right = posts.select(F.col("set_id").alias("id_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), "post")
     apart = F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b")))

@@ -54,25 +54,26 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     words, lines = F.col("_words"), F.col("_lines")
     n = F.size(words)
     length = F.transform(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")))
-    solid = F.length(F.regexp_replace(t, r"\s+", ""))
+    solid = F.length(F.translate(t, " \n\t\r", ""))
+    signs = F.length(F.array_join(words, ""))
 
     def inside(part: Column) -> Column:
-        ws = F.regexp_extract_all(F.lower(part), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+        ws = F.split(F.lower(part), r"\s+")
         whole = part.rlike(r"[\p{L}\p{N})\]\"'][.!?][\"')]?\s*$") & (F.size(ws) >= 5) & (count_in(ws, COMMON) * 20 >= F.size(ws))
         return F.when(whole, F.size(ws)).otherwise(0)
 
     feats = {
         "n_words": n.cast("double"),
         "n_lines": F.size(lines).cast("double"),
-        "mean_word_len": ratio(F.length(F.array_join(words, "")), n),
-        "symbol_ratio": ratio(F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]+", "")), solid),
-        "digit_ratio": ratio(F.length(F.regexp_replace(t, r"[^0-9]+", "")), solid),
+        "mean_word_len": ratio(signs, n),
+        "symbol_ratio": F.greatest(F.lit(0.0), ratio(solid - signs, solid)),
+        "digit_ratio": ratio(F.length(t) - F.length(F.translate(t, "0123456789", "")), solid),
         "end_punct_share": _share(lines, lambda x: x.rlike(r"[.!?:;,][\"')]?\s*$")),
         "common_share": ratio(count_in(words, COMMON), n),
         "words_per_line": ratio(n, F.size(lines)),
         "short_line_share": _share(length, lambda k: k <= 6),
         "odd_word_share": F.least(F.lit(1.0), ratio(F.regexp_count(F.lower(t), F.lit(r"[bcdfghjklmnpqrstvwxz]{5}|\b[bcdfghjklmnpqrstvwxz]{3,}\b|[a-z][0-9]+[a-z]")), n)),
-        "sentence_word_share": ratio(F.aggregate(F.transform(F.col("_parts"), inside), F.lit(0), lambda a, b: a + b), n),
+        "sentence_word_share": F.least(F.lit(1.0), ratio(F.aggregate(F.transform(F.col("_parts"), inside), F.lit(0), lambda a, b: a + b), n)),
         "marker_share": _share(lines, lambda x: x.rlike(r"^\s*([-*•◦·‣–]|\(?[0-9a-z]{1,3}[.)]|[#|+])\s*")),
         "number_share": F.least(F.lit(1.0), ratio(F.regexp_count(t, F.lit(r"\b[0-9]+\b")), n)),
         "distinct_share": ratio(F.size(F.array_distinct(words)), n),

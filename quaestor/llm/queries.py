@@ -48,14 +48,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     keys, prose = _prose(spark, sf)
     word = F.transform("words", lambda w: F.struct(F.lit("word").alias("kind"), w.alias("fixed")))
     line = F.transform("lines", lambda x: F.struct(F.lit("line").alias("kind"), x.alias("fixed")))
-    each = scan_repair.repair(prose).select("text_id", F.explode(F.concat(word, line)).alias("f"))
+    each = scan_repair.repair(prose, rebuild=False, titles=table(spark, sf, "course_meta").select("title")).select("text_id", F.explode(F.concat(word, line)).alias("f"))
     return keys.join(each, "text_id").select("tbl", "row_key", "f.kind", "f.fixed").distinct()
 
 
 def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """The repaired text of every row, continuous and without page lines."""
     keys, prose = _prose(spark, sf)
-    return keys.join(scan_repair.repair(prose).select("text_id", "repaired"), "text_id").select("tbl", "row_key", "repaired")
+    return keys.join(scan_repair.repair(prose, titles=table(spark, sf, "course_meta").select("title")).select("text_id", "repaired"), "text_id").select("tbl", "row_key", "repaired")
 
 
 def _fields(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +167,8 @@ WHERE len(list_intersect(a.w, b.w)) >= 0.75 * len(list_distinct(list_concat(a.w,
 ), f AS (
   SELECT tbl, len(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS n_words,
     list_filter(regexp_split_to_array(t, '\r?\n'), lambda x: trim(x) <> '') AS lines,
-    length(regexp_replace(t, '\s+', '', 'g')) AS solid, length(regexp_replace(t, '[\p{L}\p{N}\s]+', '', 'g')) AS symbols FROM c
+    length(regexp_replace(t, '[ \n\t\r]+', '', 'g')) AS solid,
+    length(regexp_replace(t, '[ \n\t\r]+', '', 'g')) - length(array_to_string(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), '')) AS symbols FROM c
 )
 SELECT tbl, count(*) AS texts, CAST(sum(n_words) AS BIGINT) AS words,
   round(avg(CASE WHEN len(lines) = 0 THEN 0 ELSE len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;,]["'')]?\s*$'))) * 1.0 / len(lines) END), 6) AS end_punct_share,
