@@ -70,7 +70,12 @@ GRADED = [
     (12, "The constitution separates legislative from executive power, yet in practice the majority in parliament supports the government. Discuss whether this arrangement weakens the control of political decisions or merely changes its form."),
     (13, "Consider a competitive market in which producers face increasing marginal costs. Demonstrate that a proportional subsidy raises total output, identify who benefits from it, and evaluate the resulting loss of efficiency with a suitable diagram."),
     (14, "Enzymatic activity depends on temperature because the conformation of the protein determines how the substrate binds to the active site. Evaluate the evidence that denaturation, rather than diffusion, limits the reaction rate at elevated temperatures."),
-    (15, "Historical explanations of industrial development emphasise institutional continuity, whereas comparative accounts attribute regional differences to resource endowments; assess which interpretation accommodates the statistical evidence that the chapter presents."),
+    (15, "Historical accounts of industrial development stress the role of institutions, while comparative studies attribute regional differences to natural resources. "
+         "Assess which interpretation fits the statistical evidence that the chapter presents, and explain what further data would decide the question."),
+    (16, "Conventional models of monetary policy assume that expectations adjust gradually to published information. Evaluate the empirical consequences of this assumption for "
+         "inflation forecasts, and determine whether alternative specifications with heterogeneous expectations describe the observed fluctuations more accurately."),
+    (17, "Whether the rule that the older members had in mind, when they wrote that no claim was to be heard before the one it answers, can still be said to hold, now that most of the "
+         "claims it was meant for have been withdrawn or settled, is a question that those who defend it would rather leave alone."),
     (17, "Insofar as the phenomenological interpretation of intersubjectivity presupposes an irreducible intentionality, subsequent poststructuralist formulations necessarily problematise the epistemological legitimacy of transcendental argumentation, thereby "
          "destabilising the methodological individualism characteristically attributed to contemporary hermeneutics."),
     (17, "Notwithstanding the heterogeneous operationalisation of socioeconomic vulnerability, multidimensional approximations systematically underestimate intergenerational indeterminacy, invalidating the universality ordinarily hypothesised for "
