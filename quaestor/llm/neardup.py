@@ -92,8 +92,9 @@ def duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75)
 
     Blank and null texts and null keys take no part; a key repeated with the same text counts once.
     """
-    sets = cut(word_sets(df, key, text))
-    members = sets.groupBy("key", "set_id").agg(F.count("*").alias("arrived"))
+    # the sets are computed again for the classes: that costs less than keeping all word arrays on disk
+    sets = word_sets(df, key, text)
+    members = cut(sets.groupBy("key", "set_id").agg(F.count("*").alias("arrived")))
     links = similar_classes(classes(sets), threshold).select("id_a", "id_b")
     both = links.unionByName(members.groupBy("set_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("set_id").alias("id_a"), F.col("set_id").alias("id_b")))
     m = members.select("key", "set_id")
@@ -105,8 +106,9 @@ def duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75)
 def duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
     """One row per key and text: (key, class_id, n_copies, n_links). ``class_id`` names the exact word set, ``n_links``
     counts the other word sets that are similar to it; nothing is expanded into pairs of copies."""
-    sets = cut(word_sets(df, key, text))
-    members = sets.groupBy("key", "set_id").agg(F.count("*").alias("arrived"))
+    # the sets are computed again for the classes: that costs less than keeping all word arrays on disk
+    sets = word_sets(df, key, text)
+    members = cut(sets.groupBy("key", "set_id").agg(F.count("*").alias("arrived")))
     links = similar_classes(classes(sets), threshold)
     ends = links.select(F.col("id_a").alias("set_id")).unionByName(links.select(F.col("id_b").alias("set_id")))
     n_links = ends.groupBy("set_id").agg(F.count("*").alias("n_links"))
