@@ -95,7 +95,10 @@ def _metric(name: str, refs: str):
     return f
 
 
-_SQL = {("bm25", "objectives"): _BM25, ("tfidf", "objectives"): _TFIDF, ("chrf", "objectives"): _CHRF, ("self_bleu", "batch"): _BLEU2}
+_OBJS = r"list_filter(coalesce(objectives, []), lambda x: regexp_replace(coalesce(x, ''), '[\s\p{Z}]+', '', 'g') <> '') AS objs"
+_CONTENT = "CASE WHEN length(coalesce(content, '')) > 0 THEN [content] ELSE [] END AS objs"
+_SQL = {("bm25", "objectives"): _BM25, ("tfidf", "objectives"): _TFIDF, ("chrf", "objectives"): _CHRF}
+_SQL |= {(n, "content"): sql.replace(_OBJS, _CONTENT) for (n, _), sql in list(_SQL.items())}
 for _n in ("bleu", "rouge_l", "meteor", "chrf", "tfidf", "bm25"):
     for _r in ("objectives", "content"):
         query(_SQL.get((_n, _r)), f"{_n}_{_r}" if _r == "content" else _n)(_metric(_n, _r))

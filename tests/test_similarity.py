@@ -88,3 +88,19 @@ def test_align_edge_rows(spark):
     assert set(got) == {"q1", "q2"}
     assert got["q2"]["chunk_id"] == "k1" and got["q2"]["bm25_score"] == 0.0 and got["q2"]["low_confidence"]
     assert align.bm25_align(q.limit(0), c).count() == 0 and align.bm25_align(q, c.limit(0)).count() == 0
+
+
+def test_align_blocks_change_nothing(spark):
+    import random
+
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(0, 12)))
+    q = spark.createDataFrame([("c", f"q{i}", text()) for i in range(40)], "course_id string, q_id string, text string")
+    c = spark.createDataFrame([("c", f"k{i:02d}", text()) for i in range(30)], "course_id string, chunk_id string, text string")
+    rows = lambda n: sorted(map(tuple, align.bm25_align(q, c, block=n).collect()))
+    assert rows(1000) == rows(7)
+    w = {r["chunk_id"]: dict(zip(r["terms"], r["weights"])) for r in align.weighted_terms(c).collect()}
+    for (_, q_id, chunk, score, _, _), (_, _, t) in zip(rows(1000), sorted(q.collect(), key=lambda r: r["q_id"])):
+        every = {k: round(sum(w[k].get(x, 0.0) for x in t.split()), 9) for k in w}
+        top = max(every.values())
+        assert score == pytest.approx(top, abs=1e-4) and every[chunk] == pytest.approx(top, abs=1e-8)
