@@ -22,7 +22,8 @@ def strip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    """Null, empty or only whitespace; ends at the first other character."""
+    return ~txt(c).rlike(r"[^\s\p{Z}]")
 
 
 def alpha_words(c: Column) -> Column:
