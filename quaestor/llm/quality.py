@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import count_in, ratio, strip, txt
+from quaestor.functions.text import count_in, is_blank, ratio, txt
 from quaestor.llm import gbt
 from quaestor.llm.corpus import text_sample
 from quaestor.llm.holdout import PROSE_OR_NOT
@@ -39,7 +39,9 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     are kept. Copies and extra columns (also ones named like a statistic, which are replaced) change nothing. Word arrays live only inside one projection, never in a shuffle.
     """
     # a word broken over two lines is one word; a first line of four or more is taken for an introduction
-    whole_words = F.regexp_replace(txt(F.col(text)), r"(\p{L})(?:-|\u00ad)\r?\n(?=\p{Ll})", "$1")
+    given = txt(F.col(text))
+    broken = given.contains("-\n") | given.contains("\u00ad\n") | given.contains("-\r\n") | given.contains("\u00ad\r\n")
+    whole_words = F.when(broken, F.regexp_replace(given, r"(\p{L})(?:-|\u00ad)\r?\n(?=\p{Ll})", "$1")).otherwise(given)
     t = F.when(F.size(F.col("_all")) >= 4, F.regexp_replace(F.col("_raw"), r"^\s*[^\n]+\n", "")).otherwise(F.col("_raw"))
     staged = df.withColumn("_raw", whole_words).withColumn("_all", F.filter(F.split("_raw", "\r?\n"), lambda x: F.trim(x) != "")).withColumn("_body", t)
     t = F.col("_body")
@@ -109,7 +111,7 @@ def score(df: DataFrame, text: str = "text", sample: int = 8000) -> DataFrame:
     Blank texts get null; texts of symbols alone get 1."""
     model = fit(df, text, sample)
     p = with_stats(df, text).withColumn("p_structural", model.column())
-    return p.withColumn("p_structural", F.when(F.col("n_words") > 0, F.col("p_structural")).otherwise(F.when(strip(F.col(text)) != "", F.lit(1.0))))
+    return p.withColumn("p_structural", F.when(F.col("n_words") > 0, F.col("p_structural")).otherwise(F.when(~is_blank(F.col(text)), F.lit(1.0))))
 
 
 def structural(df: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import WS, strip, txt
+from quaestor.functions.text import WS, is_blank, txt
 from quaestor.runtime import cut
 
 # Phrase rules, for lines in lower case with digits masked as #. English first, then other languages.
@@ -85,7 +85,7 @@ def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """(key, line_hash, kind, n_words, n): the lines of every document by normalised hash, repeated lines counted.
 
     ``kind``: message, filler, latin or other. Line texts stay in the scan; only hashes are shuffled."""
-    one = docs.where(F.col(key).isNotNull() & (strip(F.col(text)) != "")).select(
+    one = docs.where(F.col(key).isNotNull() & ~is_blank(F.col(text))).select(
         F.col(key).alias("doc_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.explode(F.split(txt(F.col(text)), r"\r?\n")).alias("line")
     )
     one = one.where(F.trim("line") != "").withColumn("norm", normalised(F.col("line")))
