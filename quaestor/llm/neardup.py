@@ -1,10 +1,10 @@
 """Problem 2: near-duplicate texts by a signature-coordinate inverted join.
 
 Every distinct word set gets a minhash signature of ``BASE`` values. Its coordinates are tuples of ``WIDTH`` of these
-values, ``COORDINATES`` of them; a posting list holds the word sets that have one value at one coordinate. Sets that
-meet in a list are merged: a pair above the match threshold must collide in the prefix of the coordinates, so only that
-prefix is joined, and the rest of the signature is skipped over - its agreements are counted at once by comparing the
-low bits of all values, which every posting carries. Pairs above the match threshold then get an exact comparison.
+values, ``COORDINATES`` of them; a posting list holds the word sets that have one value at one coordinate. Only this
+prefix of tuples is joined; the signature as a whole is not merged list by list but skipped to: the agreements of all
+its values are counted at once from the low bits that every posting carries. Pairs above the match threshold then get
+an exact comparison of their word sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quaestor.functions.text import az09_words, ratio
 from quaestor.runtime import cut
 
-BASE, WIDTH, COORDINATES = 128, 5, 24
+BASE, WIDTH, COORDINATES = 128, 5, 28
 # Of the 128 low bits a pair of similarity 0.75 shares 112, with deviation 3.7; unlike pairs share about 70.
 MATCHES = 99
 _rng = np.random.default_rng(20)
@@ -68,9 +68,10 @@ def classes(sets: DataFrame) -> DataFrame:
 def similar_classes(reps: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Pairs (id_a, id_b, similarity) of distinct word sets with Jaccard similarity of at least ``threshold``.
 
-    At similarity 0.75 a pair shares 5.7 of the 24 coordinates on average and is missed about once in 250 times, at 0.8
-    once in 2,500; sets without a like hardly ever meet. Sets are compared with sets, not documents with documents, and
-    a list that many different sets share is split over tasks by the skew handling of the join.
+    A pair of similarity 0.75 shares 6.6 of the 28 coordinates on average. Measured on 24,000 random pairs, 0.3 to
+    0.5 % are missed at exactly 0.75, 0.02 % at 0.8 and none at 0.9. Sets
+    without a like hardly ever meet. Sets are compared with sets, not documents with documents, and a list that many
+    different sets share is split over tasks by the skew handling of the join.
     """
     # nondeterministic in name only: else each field taken from its result would call it again
     signature = F.pandas_udf(_signature, "posts array<long>, low long, high long").asNondeterministic()
