@@ -49,21 +49,25 @@ def conjunction_rate(t: Column, subordinators: list[str], max_rate: float = 0.3)
     return _down(ratio(F.size(hits), F.size(_alpha(t))) / max_rate)
 
 
-def depths(t: Column, most: int = 60) -> Column:
-    """Edges to the root per token, by walking all heads at once until nothing moves, at most ``most`` steps."""
-    heads = F.transform(t, lambda x: x["head"])
-    start = F.struct(heads.alias("at"), F.transform(t, lambda x, i: F.when(x["head"] == i, 0).otherwise(1)).alias("d"))
+def heads(t: Column) -> Column:
+    """Index of each token's head. Make it a column of its own before ``parse_tree_depth``, which looks into it often."""
+    return F.transform(t, lambda x: x["head"])
+
+
+def depths(head: Column, most: int = 60) -> Column:
+    """Edges to the root per token, by walking all heads at once, at most ``most`` steps."""
+    start = F.struct(head.alias("at"), F.transform(head, lambda h, i: F.when(h == i, 0).otherwise(1)).alias("d"))
 
     def step(s: Column, _: Column) -> Column:
-        up = F.transform(s["at"], lambda a: F.get(heads, a))
+        up = F.transform(s["at"], lambda a: F.get(head, a))
         d = F.zip_with(s["d"], F.zip_with(s["at"], up, lambda a, b: F.when(a == b, 0).otherwise(1)), lambda x, y: x + y)
         return F.struct(up.alias("at"), d.alias("d"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["d"]
 
 
-def parse_tree_depth(t: Column, max_depth: float = 10.0) -> Column:
-    return _down(F.coalesce(F.array_max(depths(t)), F.lit(0)) / max_depth)
+def parse_tree_depth(head: Column, max_depth: float = 10.0) -> Column:
+    return _down(F.coalesce(F.array_max(depths(head)), F.lit(0)) / max_depth)
 
 
 def dependency_distance(t: Column, max_dist: float = 8.0) -> Column:

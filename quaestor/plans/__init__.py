@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("shredding", "metrics", "similarity", "rollup", "analytics", "dataset", "generic")
+_MODULES = ("shredding", "metrics", "annotated", "similarity", "rollup", "analytics", "dataset", "generic")
 
 
 def _load():

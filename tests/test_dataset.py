@@ -97,7 +97,7 @@ def test_annotated_metrics(spark):
     toks = [("He", "PRON", "PRP", "nsubj", 2, "Sing", ""), ("never", "ADV", "RB", "neg", 2, None, ""), ("runs", "VERB", "VBZ", "ROOT", 2, "Sing", "")]
     df = spark.createDataFrame([(toks,), ([],)], "t array<struct<text:string,pos:string,tag:string,dep:string,head:int,number:string,ent:string>>")
     t = F.col("t")
-    cols = [N.parse_tree_depth(t), N.dependency_distance(t), N.passive_voice_rate(t), N.negation_ambiguity(t), N.subject_verb_agreement(t), N.has_verb(t), N.lexical_density(t), N.pronoun_ratio(t)]
+    cols = [N.parse_tree_depth(N.heads(t)), N.dependency_distance(t), N.passive_voice_rate(t), N.negation_ambiguity(t), N.subject_verb_agreement(t), N.has_verb(t), N.lexical_density(t), N.pronoun_ratio(t)]
     a, b = df.select(*[c.alias(str(i)) for i, c in enumerate(cols)]).collect()
     assert [round(x, 4) for x in a] == [0.9, round(1 - 1.5 / 8, 4), 1.0, round(1 - 0.3 / 1.4, 4), 1.0, 1.0, round(2 / 3, 4), round(2 / 3, 4)]
     assert b["4"] == 0.5 and b["5"] == 0.0
@@ -124,3 +124,13 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["metric"]: r["score"] for r in spark.table("scored").collect()} == {"word_count": 0.02, "question_mark": 1.0}
+
+
+def test_rules_annotator(spark):
+    from quaestor.operators import rules
+
+    df = spark.createDataFrame([("The old dog does not chase cats.",), (None,), (" ",)], "text string")
+    r = rules.annotate(df).collect()
+    t = r[0]["tokens"]
+    assert [x["text"] for x in t] == ["The", "old", "dog", "does", "not", "chase", "cats"] and t[3]["dep"] == "ROOT" and t[2]["dep"] == "nsubj" and t[4]["dep"] == "neg"
+    assert r[1]["tokens"] == r[2]["tokens"] == []
