@@ -22,7 +22,7 @@ def keys_and_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows without key or with a blank text are left out. A text that many rows share is one row of the second table, so
     whatever is costly runs once per text; the partial aggregation drops copies before the shuffle."""
     x = rows.where(F.col("row_key").isNotNull() & ~is_blank(F.col("text"))).withColumn("text_id", F.md5("text"))
-    return x.select("tbl", "row_key", "text_id").distinct(), x.groupBy("text_id").agg(F.first("text").alias("text"))
+    return x.select("tbl", "row_key", "text_id").distinct(), x.select("text_id", "text").distinct()
 
 
 def text_sample(df: DataFrame, text: str, expected: int) -> DataFrame:

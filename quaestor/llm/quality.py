@@ -45,12 +45,13 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.when(F.size(F.col("_all")) >= 4, F.regexp_replace(F.col("_raw"), r"^\s*[^\n]+\n", "")).otherwise(F.col("_raw"))
     staged = df.withColumn("_raw", whole_words).withColumn("_all", F.filter(F.split("_raw", "\r?\n"), lambda x: F.trim(x) != "")).withColumn("_body", t)
     t = F.col("_body")
+    whole = F.replace(F.replace(F.replace(t, F.lit("\n\n"), F.lit("\x02")), F.lit("\n"), F.lit(" ")), F.lit("\x02"), F.lit("\n"))
     staged = staged.withColumns(
         {
             "_lines": F.filter(F.split(t, "\r?\n"), lambda x: F.trim(x) != ""),
             "_words": F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
-            # lines of one paragraph belong together; blank lines part paragraphs
-            "_parts": F.split(F.regexp_replace(t, r"([^\n])\n(?=[^\n])", "$1 "), r"(?<=[.!?][\"')]?)\s+|\n+"),
+            # lines of one paragraph belong together; blank lines and ends of sentences part
+            "_parts": F.split(F.regexp_replace(whole, r"([.!?][\"')]?)\s+", "$1\n"), "\n+"),
         }
     )
     words, lines = F.col("_words"), F.col("_lines")

@@ -48,14 +48,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     keys, prose = _prose(spark, sf)
     word = F.transform("words", lambda w: F.struct(F.lit("word").alias("kind"), w.alias("fixed")))
     line = F.transform("lines", lambda x: F.struct(F.lit("line").alias("kind"), x.alias("fixed")))
-    each = scan_repair.repair(prose, rebuild=False, titles=table(spark, sf, "course_meta").select("title")).select("text_id", F.explode(F.concat(word, line)).alias("f"))
+    each = scan_repair.repair(prose, rebuild=False, titles=table(spark, sf, "course_meta").select("title"), unique=True).select("text_id", F.explode(F.concat(word, line)).alias("f"))
     return keys.join(each, "text_id").select("tbl", "row_key", "f.kind", "f.fixed").distinct()
 
 
 def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
     """The repaired text of every row, continuous and without page lines."""
     keys, prose = _prose(spark, sf)
-    return keys.join(scan_repair.repair(prose, titles=table(spark, sf, "course_meta").select("title")).select("text_id", "repaired"), "text_id").select("tbl", "row_key", "repaired")
+    return keys.join(scan_repair.repair(prose, titles=table(spark, sf, "course_meta").select("title"), unique=True).select("text_id", "repaired"), "text_id").select("tbl", "row_key", "repaired")
 
 
 def _fields(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
