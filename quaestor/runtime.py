@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
 def rows_at_most(df: DataFrame, n: int) -> bool:
     """Whether ``df`` has at most ``n`` rows, without counting the rest."""
     return df.limit(n + 1).count() <= n
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, once per context, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quaestor_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="quaestor-code-")) / "quaestor_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._quaestor_shipped = True
