@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.operators import align
+from quaestor.operators import align, batch
 from quaestor.operators import similarity as S
 from quaestor.plans.core import query, r6, s6
 from quaestor.runtime import table
@@ -166,3 +166,35 @@ def join_pairs(spark, sf):
     whole = same.groupBy("course_id", "source_file").agg(F.sum("same").alias("whole"))
     y = x.join(same, ["course_id", "source_file", "text"]).join(whole, ["course_id", "source_file"])
     return y.where("whole > same").select("q_id", (F.col("whole") - F.col("same")).alias("peers"))
+
+
+@query("SELECT coalesce(course_id, '') AS course_id, source_file, row_number() OVER (PARTITION BY coalesce(course_id, ''), source_file ORDER BY q_id NULLS FIRST, coalesce(md5(text), '')) AS position, q_id, text, copies FROM (SELECT course_id, source_file, q_id, text, count(*) AS copies FROM (SELECT coalesce(course_id, '') AS course_id, source_file, q_id, text FROM questions_raw WHERE source_file IS NOT NULL) GROUP BY ALL)")
+def question_batch_rows(spark, sf):
+    """The batches themselves, a row for each member; `question_batch` has their sizes."""
+    return batch.batch_rows(table(spark, sf, "questions_raw"))
+
+
+_MEMBERS = r"WITH m AS (SELECT DISTINCT coalesce(course_id, '') AS c, source_file AS f, q_id, text, regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS s FROM questions_raw WHERE source_file IS NOT NULL)"
+
+
+@query(_MEMBERS + " SELECT a.q_id, count(b.c) AS peers FROM m a LEFT JOIN m b ON a.c = b.c AND a.f = b.f AND a.s <> b.s AND a.s <> '' AND b.s <> '' GROUP BY a.c, a.f, a.q_id, a.text")
+def question_batch_peers(spark, sf):
+    """Peers by the stripped text, blank ones left out and null courses kept, as self_bleu counts them."""
+    return batch.batch_peers(table(spark, sf, "questions_raw")).select("q_id", "peers")
+
+
+@query(
+    _MEMBERS
+    + r""", d AS (SELECT row_number() OVER () AS rid, *, regexp_extract_all(lower(s), '[a-z]+') AS w FROM m),
+g AS (SELECT rid, c, f, k, g, count(*) AS n FROM (SELECT rid, c, f, 1 AS k, unnest(w) AS g FROM d WHERE s <> '' UNION ALL SELECT rid, c, f, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d WHERE s <> '') GROUP BY ALL),
+o AS (SELECT a.rid, b.rid AS peer, sum(least(a.n, b.n)) FILTER (WHERE a.k = 1) AS m1, sum(least(a.n, b.n)) FILTER (WHERE a.k = 2) AS m2 FROM g a JOIN g b ON a.c = b.c AND a.f = b.f AND a.k = b.k AND a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT a.rid, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE least(1.0, len(a.w) * 1.0 / len(b.w)) * sqrt(coalesce(m1, 0) * 1.0 / len(a.w) * coalesce(m2, 0) / greatest(1, len(a.w) - 1)) END AS b
+  FROM d a JOIN d b ON a.c = b.c AND a.f = b.f AND a.s <> b.s AND a.s <> '' AND b.s <> '' LEFT JOIN o ON o.rid = a.rid AND o.peer = b.rid),
+v AS (SELECT rid, greatest(0.0, 1 - avg(b)) AS v FROM e GROUP BY rid)
+SELECT q_id, """
+    + s6("CASE WHEN s = '' THEN 0.0 ELSE coalesce(v, 1.0) END")
+    + " AS score, (s = '' OR coalesce(v, 1.0) < 0.3) AS flagged FROM d LEFT JOIN v USING (rid)"
+)
+def self_bleu_raw(spark, sf):
+    """self_bleu of the raw questions against the batches built from them."""
+    return batch.self_bleu(table(spark, sf, "questions_raw")).select("q_id", r6("score").alias("score"), "flagged")
