@@ -28,12 +28,26 @@ def run(questions: DataFrame, stored: DataFrame | None = None, context: str | No
     return long, errors
 
 
-def report(questions: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: total, succeeded, failed, success_rate (0 for no questions)."""
+def scored(long: DataFrame) -> DataFrame:
+    """Keys of the items for which every metric gave a score; the scores have to be computed to tell."""
+    return long.groupBy("key").agg(F.count("score").alias("given"), F.count("*").alias("metrics")).where("given = metrics").select("key")
+
+
+def unscored(questions: DataFrame, long: DataFrame, context: str | None = None) -> DataFrame:
+    """Error rows (question_id, error) of the items that have id and text but lack a score."""
+    x = todo(questions.where("id is not null and text is not null"), scored(long), context)
+    return x.select(F.col("id").alias("question_id"), F.lit("not scored").alias("error"))
+
+
+def report(questions: DataFrame, errors: DataFrame, long: DataFrame | None = None) -> DataFrame:
+    """One row: total, succeeded, failed, success_rate (0 for no questions). With ``long`` an item has succeeded once all its
+    scores are there; without, once it gave no error."""
     t = questions.agg(F.count("*").alias("total"))
-    e = errors.agg(F.count("*").alias("failed"))
-    x = t.join(F.broadcast(e), F.lit(True))  # one row each
-    return x.select("total", (F.col("total") - F.col("failed")).alias("succeeded"), "failed", F.when(F.col("total") == 0, 0.0).otherwise((F.col("total") - F.col("failed")) / F.col("total")).alias("success_rate"))
+    if long is None:
+        done = t.join(F.broadcast(errors.agg(F.count("*").alias("e"))), F.lit(True)).select("total", (F.col("total") - F.col("e")).alias("succeeded"))
+    else:
+        done = t.join(F.broadcast(scored(long).agg(F.count("*").alias("succeeded"))), F.lit(True))  # one row each
+    return done.select("total", "succeeded", (F.col("total") - F.col("succeeded")).alias("failed"), F.when(F.col("total") == 0, 0.0).otherwise(F.col("succeeded") / F.col("total")).alias("success_rate"))
 
 
 def failure_guard(rep: DataFrame, most: float = 0.5) -> None:

@@ -16,14 +16,18 @@ def _items(spark, sf):
 
 @query("SELECT count(*) AS total, count(text) AS succeeded, count(*) - count(text) AS failed, " + s6("count(text) * 1.0 / count(*)") + " AS success_rate FROM (SELECT DISTINCT q_id, text FROM questions_raw)")
 def pipeline_run(spark, sf):
+    """All registered metrics over all items; an item has succeeded when every score is there."""
     q = _items(spark, sf)
-    _, errors = pipeline.run(q, names=["word_count"])
-    return pipeline.report(q, errors).withColumn("success_rate", r6("success_rate"))
+    long, errors = pipeline.run(q)
+    return pipeline.report(q, errors, long).withColumn("success_rate", r6("success_rate"))
 
 
 @query("SELECT DISTINCT q_id AS question_id, CASE WHEN q_id IS NULL THEN 'missing id' ELSE 'missing text' END AS error FROM questions_raw WHERE q_id IS NULL OR text IS NULL")
 def error_capture(spark, sf):
-    return pipeline.run(_items(spark, sf), names=["word_count"])[1]
+    """Items without id or text, and those that all registered metrics were run on but that lack a score."""
+    q = _items(spark, sf)
+    long, errors = pipeline.run(q)
+    return errors.unionByName(pipeline.unscored(q, long))
 
 
 @query("SELECT DISTINCT q_id AS id FROM questions_raw WHERE text IS NOT NULL AND (q_id NOT IN (SELECT question_id FROM results WHERE question_id IS NOT NULL))")
