@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaestor import lexicons as L
 from quaestor.functions.text import ratio
 
 # Dependency labels that open a clause.
@@ -49,6 +50,23 @@ def conjunction_rate(t: Column, subordinators: list[str], max_rate: float = 0.3)
     return _down(ratio(F.size(hits), F.size(_alpha(t))) / max_rate)
 
 
+def parts_by_conjunction(t: Column) -> Column:
+    """1 + the coordinating conjunctions that follow a verb (VB, VBP, VBZ), each verb used once."""
+
+    def step(s: Column, x: Column) -> Column:
+        verb, hit = x["tag"].isin("VB", "VBP", "VBZ"), (x["tag"] == "CC") & s["seen"]
+        return F.struct((verb | (s["seen"] & ~hit)).alias("seen"), (s["n"] + F.when(hit, 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(t, F.struct(F.lit(False).alias("seen"), F.lit(1).alias("n")), step)["n"]
+
+
+def multipart_question(t: Column, text: Column, max_extra: float = 2.0) -> Column:
+    """All three heuristics: question marks, part markers, conjunctions after a verb."""
+    marks = F.regexp_count(text, F.lit(r"\?"))
+    parts = F.greatest(F.lit(1), marks, F.regexp_count(F.lower(text), F.lit(L.PART_MARKER)) + 1, parts_by_conjunction(t))
+    return _down((parts - 1) / max_extra)
+
+
 def heads(t: Column) -> Column:
     """Index of each token's head. Make it a column of its own before ``parse_tree_depth``, which looks into it often."""
     return F.transform(t, lambda x: x["head"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import alpha_words, is_blank, word_runs
+from quaestor.functions.text import alpha_words, is_blank, txt, word_runs
 from quaestor.operators import annotate as N
 from quaestor.operators import metrics as M
 from quaestor.operators import rules
@@ -23,6 +23,7 @@ SPECS = {
     "negation_ambiguity": (lambda: N.negation_ambiguity(_T), 0.5),
     "subject_verb_agreement": (lambda: N.subject_verb_agreement(_T), 0.7),
     "question_type_consistency": (lambda: N.question_type_consistency(_T, word_runs(F.col("text"))), 0.6),
+    "multipart_question_annotated": (lambda: N.multipart_question(_T, txt(F.col("text"))), 0.5),
 }
 
 
