@@ -4,18 +4,14 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("shredding", "metrics", "annotated", "similarity", "rollup", "analytics", "dataset", "generic")
+_MODULES = ("shredding", "metrics", "annotated", "similarity", "rollup", "dataset", "generic")
 
 
 def _load():
     from quaestor.plans import core
 
     for m in _MODULES:
-        try:
-            importlib.import_module(f"quaestor.plans.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"quaestor.plans.{m}":
-                raise
+        importlib.import_module(f"quaestor.plans.{m}")
     return core
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -33,22 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of our own is
-    made only where that is unset, as in tests. Unlike a local checkpoint the files outlive any executor.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset a folder of our own is made,
+    in local mode only (tests), and removed at exit; on a cluster a missing setting is an error, as a folder of one
+    machine would be lost with it. Unlike a local checkpoint the files outlive any executor.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quaestor-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="quaestor-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
-def rows_at_most(df: DataFrame, n: int) -> bool:
-    """Whether ``df`` has at most ``n`` rows, without counting the rest."""
-    return df.limit(n + 1).count() <= n
-
-
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in the Python workers, once per context, wherever the driver was started."""
     sc = spark.sparkContext
