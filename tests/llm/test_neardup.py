@@ -55,3 +55,40 @@ def test_partitioning_changes_nothing(spark, parts):
     rows = fixture()[:80]
     df = spark.createDataFrame(rows, "id string, text string").repartition(parts)
     assert {(r[0], r[1]) for r in neardup.duplicate_pairs(df, "id", "text").collect()} == brute(rows)
+
+
+def test_long_lists_are_split_without_a_change(spark):
+    rows = fixture()
+    sets = neardup.word_sets(spark.createDataFrame(rows, "id string, text string"), "id", "text")
+    reps = neardup.classes(sets)
+    pairs = lambda n: {(r["id_a"], r["id_b"]) for r in neardup.similar_classes(reps, 0.75, longest=n).collect()}
+    assert pairs(2) == pairs(5000) != set()
+
+
+def test_collisions_are_counted():
+    """Against the signature itself: pairs come out that collide often enough, whether in posted or in probed coordinates."""
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(2)
+    base = [rnd.getrandbits(62) for _ in range(60)]
+    words = pd.Series([np.array(sorted({x if rnd.random() > 0.08 else rnd.getrandbits(62) for x in base})) for _ in range(40)])
+    s = neardup._signature(words)
+    assert all(len(p) == neardup.PREFIX for p in s["posts"])
+    a, b = s["posts"][0], s["posts"][1]
+    n = int((a == b).sum())
+    same = (int(s["carried"][0]) ^ int(s["carried"][1])) & neardup._mask(True) == 0
+    assert n + same >= neardup.MATCHES
+    assert bin((int(s["carried"][0]) ^ int(s["carried"][1])) & neardup._mask(False) & (2**64 - 1)).count("1") <= neardup.BITS - neardup.AGREE
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.8, far from copies."""
+    rnd, rows = random.Random(7), []
+    for g in range(300):
+        words = [f"{g}x{i}" for i in range(56)]
+        other = words[:48] + [f"{g}y{i}" for i in range(8)]
+        rows += [(f"a{g}", " ".join(words)), (f"b{g}", " ".join(other))]
+        rnd.random()
+    got = neardup.duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), "id", "text").count()
+    assert got >= 297
