@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import az09_words, ratio
+from quaestor.functions.text import az09_words, ratio, txt
 from quaestor.runtime import cut
 
-WIDTH, COORDINATES, MATCHES = 5, 34, 2
+WIDTH, COORDINATES, MATCHES = 5, 32, 2
 PREFIX = COORDINATES - MATCHES + 1
 # the carried long: 8 bits of fingerprint for each coordinate without lists, agreement bits in the rest
 PROBED = 8 * (MATCHES - 1)
@@ -59,14 +59,17 @@ def _signature(words: pd.Series) -> pd.DataFrame:
     low = np.packbits((sig[:BITS].T & 1).astype(np.uint8), axis=1)
     probe = (value[:, PREFIX:] >> np.uint64(20)).astype(np.uint8)
     carried = np.ascontiguousarray(np.concatenate([probe, low], axis=1)).view(np.int64)[:, 0]
-    return pd.DataFrame({"posts": list(np.ascontiguousarray(value[:, :PREFIX]).view(np.int64)), "carried": carried})
+    # 32 bits name a list: two values share one by chance far less often than unlike sets share a value
+    posts = (value[:, :PREFIX] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return pd.DataFrame({"posts": list(posts), "carried": carried})
 
 
 def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, set_id, words): the distinct words of every non-blank text as sorted 64-bit hashes, and the hash of these as
     the identity of the set; keys with several texts keep each."""
-    hashed = F.array_sort(F.array_distinct(F.transform(az09_words(F.col(text)), lambda w: F.xxhash64(w))))
-    x = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), hashed.alias("words")).where(F.size("words") > 0)
+    hashed = F.sort_array(F.array_distinct(F.transform(az09_words(F.col(text)), lambda w: F.xxhash64(w))))
+    # a filter on the array itself would be pushed below and build it twice
+    x = df.where(F.col(key).isNotNull() & F.lower(txt(F.col(text))).rlike("[a-z0-9]")).select(F.col(key).alias("key"), hashed.alias("words"))
     return x.select("key", F.xxhash64("words").alias("set_id"), "words")
 
 
@@ -78,7 +81,7 @@ def classes(sets: DataFrame) -> DataFrame:
 def postings(reps: DataFrame) -> DataFrame:
     """(post, set_id, carried): a row for every posted coordinate of every word set, partitioned by list."""
     # nondeterministic in name only: else each field taken from its result would call it again
-    signature = F.pandas_udf(_signature, "posts array<long>, carried long").asNondeterministic()
+    signature = F.pandas_udf(_signature, "posts array<int>, carried long").asNondeterministic()
     signed = reps.select("set_id", signature("words").alias("s"))
     return signed.select("set_id", F.col("s.carried").alias("carried"), F.explode("s.posts").alias("post")).repartition("post")
 
@@ -111,7 +114,7 @@ def _mask(fingerprints: bool) -> int:
 def similar_classes(reps: DataFrame, threshold: float = 0.75, longest: int = 5000) -> DataFrame:
     """Pairs (id_a, id_b, similarity) of distinct word sets with Jaccard similarity of at least ``threshold``.
 
-    A pair of similarity 0.75 collides in 8 of the 34 coordinates on average. By simulation of 200,000 pairs 0.12 % are
+    A pair of similarity 0.75 collides in 7.6 of the 32 coordinates on average. By simulation of 200,000 pairs 0.2 % are
     missed at exactly 0.75, under 0.01 % at 0.8 and none at 0.9. Sets are compared with sets, not documents with
     documents; only the words of sets that are candidates travel twice.
     """
