@@ -1,13 +1,17 @@
 """Problem 8: template residue, filler, error pages and script notices instead of content.
 
-Every line is normalised (addresses, dates, ids and numbers masked, case and spacing folded) and its hash is counted
-over documents and sources; widely recurring lines are page furniture or messages. Phrase and placeholder rules then
-say which lines are messages, filler or unfilled placeholders, and a document is residue when it has an unfilled
-placeholder or when such lines outweigh what else it says.
+Every line is normalised (placeholders, addresses, dates, ids and numbers masked, case and spacing folded) and its hash is
+grouped over documents and sources, different texts counted once. What recurs widely is classified: phrase rules name the
+messages and filler; of what no phrase knows, a line that hardly ever stands beside content is a message of unseen wording, a
+line that does is furniture (menus, footers). Phrase and placeholder rules also hold for lines too rare to recur. A document
+is residue when it has an unfilled placeholder, when messages and filler outweigh what else it says, or when nothing but
+recurring messages is in it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,29 +24,32 @@ STATUS = (
     r"introuvable|interdit|non trouvée?|no encontrada|prohibido|nicht gefunden|verboten|nicht erreichbar)\b"
 )
 ERROR_LINE = (
-    rf"^(oops!? |sorry,? |http )*((error|erreur|fehler|http|code|status)\s*:?\s*#|#\s*[-–:]?\s*(error\b)?).{{0,20}}{STATUS}|^(oops!?|sorry|http error #)\b.{{0,30}}{STATUS}|"
-    r"^(erreur|error|fehler) #|^code # ref|^request id\b|"
-    r"^(we are |we're )?sorry,? .{0,20}(something|an error|the page|this page)|^something went wrong|^an? (unexpected |internal )?error (has )?occurred|"
-    r"^the (page|file|resource|document) (you are looking for|you requested|requested)|^the requested (file|page|url|resource)\b.*(could not|cannot|was not|is not|not found)|"
-    r"^you (do not|don't) have (permission|access)|^access (to this|denied)|^please (try again|come back|check back)|^(the|this) [a-z ]{2,40} is (down|closed|unavailable|offline) for\b|"
-    r"^(this|the) (page|site|service|server) is (temporarily |currently )?(unavailable|down|offline)|^your session (has )?expired|^traceback \(most recent|^ *file \"[^\"]+\", line #|^[a-z]*(error|exception): |"
-    r"^back to the (start|home) ?page|^check back soon|"
-    r"^(la página|la page|die seite|diese seite|esta página|cette page)\b.*(no existe|no se|introuvable|n'existe|nicht|demandée|solicitada|angeforderte)|"
-    r"^(bitte versuchen|veuillez réessayer|inténtelo|vuelva a intentar|lo sentimos|désolée?|es ist ein fehler|une erreur|se ha producido|zugriff verweigert|accès refusé|acceso denegado)"
+    rf"^(?:(oops!? |sorry,? |http )*((error|erreur|fehler|http|code|status)\s*:?\s*#|#\s*[-–:]?\s*(error\b)?).{{0,20}}{STATUS}|(oops!?|sorry|http error #)\b.{{0,30}}{STATUS}|"
+    r"(erreur|error|fehler) #|code # ref|request id\b|"
+    r"(we are |we're )?sorry,? .{0,20}(something|an error|the page|this page)|something went wrong|an? (unexpected |internal )?error (has )?occurred|"
+    r"the (page|file|resource|document) (you are looking for|you requested|requested)|the requested (file|page|url|resource)\b.*(could not|cannot|was not|is not|not found)|"
+    r"you (do not|don't) have (permission|access)|access (to this|denied)|please (try again|come back|check back)|(the|this) [a-z ]{2,40} is (down|closed|unavailable|offline) for\b|"
+    r"(this|the) (page|site|service|server) is (temporarily |currently )?(unavailable|down|offline)|your session (has )?expired|traceback \(most recent| *file \"[^\"]+\", line #|[a-z]*(error|exception): |"
+    r"back to the (start|home) ?page|check back soon|"
+    r"(la página|la page|die seite|diese seite|esta página|cette page)\b.*(no existe|no se|introuvable|n'existe|nicht|demandée|solicitada|angeforderte)|"
+    r"(bitte versuchen|veuillez réessayer|inténtelo|vuelva a intentar|lo sentimos|désolée?|es ist ein fehler|une erreur|se ha producido|zugriff verweigert|accès refusé|acceso denegado))"
 )
 SCRIPT_LINE = (
-    r"^(please |you need to |you must )?(enable|turn on|activate|allow|switch on|accept) (javascript|java script|scripts?|cookies)\b|^you need to (enable|turn on|allow)\b.{0,20}(javascript|scripts?|cookies)|"
-    r"^(this|the|our) (site|page|website|app|application|course|lecture|quiz)\b.{0,30}(requires?|needs?|uses)\b.{0,30}(javascript|scripts?|cookies)\b|"
-    r"^(javascript|scripts?|cookies) (is|are|must|has|have|need)\b.{0,30}(disabled|required|enabled|turned|off|blocked|be)|^your browser (is|does|has)\b.{0,40}(javascript|scripts?|cookies|blocking)|"
-    r"^noscript\b|^how to (turn on|enable|allow|activate) (javascript|scripts?|cookies)|^loading\b.{0,30}(if nothing happens|switch on|scripts|cookies|please wait)|"
+    r"^(?:(please |you need to |you must )?(enable|turn on|activate|allow|switch on|accept) (javascript|java script|scripts?|cookies)\b|you need to (enable|turn on|allow)\b.{0,20}(javascript|scripts?|cookies)|"
+    r"(this|the|our) (site|page|website|app|application|course|lecture|quiz)\b.{0,30}(requires?|needs?|uses)\b.{0,30}(javascript|scripts?|cookies)\b|"
+    r"(javascript|scripts?|cookies) (is|are|must|has|have|need)\b.{0,30}(disabled|required|enabled|turned|off|blocked|be)|your browser (is|does|has)\b.{0,40}(javascript|scripts?|cookies|blocking)|"
+    r"noscript\b|how to (turn on|enable|allow|activate) (javascript|scripts?|cookies)|loading\b.{0,30}(if nothing happens|switch on|scripts|cookies|please wait))"
+)
+# Where the words may stand anywhere; tried only on sentences that name scripts or cookies.
+SCRIPT_ANYWHERE = (
     r"\b(activez|activer|aktivieren|activar|active|habilite|habilitar|permita|autorisez|erlauben|einschalten)\b.{0,40}\b(javascript|scripts?|cookies)\b|"
     r"\b(javascript|scripts?|cookies)\b.{0,40}\b(activez|activé|activés|aktivieren|aktiviert|activado|activar|habilite|habilitar|einschalten|erlauben|requis|nécessaires?|erforderlich|necesarios?|benötigt|autorisez)\b"
 )
 FILLER_LINE = (
-    r"^(click|tap) (here )?to (edit|add)|^(your|my|some|insert|add|type|enter) (text|content|title|heading|subtitle|caption|description|name) (goes |go )?here|^this is (a |some |an )?(sample|dummy|example|placeholder|test) (text|paragraph|page|content)|"
-    r"^(dummy|sample|placeholder) (text|paragraph|content)|^replace this\b|^add (a|your|some) (description|text|title|content)\b|^(insert|type|enter) (your )?(text|content)\b|"
-    r"^([a-z]{2,6})( \1){2,}\W*$|^(asdf|qwer|jkl|foo|bar|baz|test|blah|xxx|lorem|ipsum|text|abc)( (asdf|qwer|jkl|foo|bar|baz|test|blah|xxx|lorem|ipsum|text|abc))+\W*$|"
-    r"^(coming soon|under construction|page intentionally left blank|content to be added)\b|^(hier steht|ihr text|ici votre texte|votre texte|su texto|texto de (ejemplo|relleno)|texte d'exemple|beispieltext|platzhalter)"
+    r"^(?:(click|tap) (here )?to (edit|add)|(your|my|some|insert|add|type|enter) (text|content|title|heading|subtitle|caption|description|name) (goes |go )?here|this is (a |some |an )?(sample|dummy|example|placeholder|test) (text|paragraph|page|content)|"
+    r"(dummy|sample|placeholder) (text|paragraph|content)|replace this\b|add (a|your|some) (description|text|title|content)\b|(insert|type|enter) (your )?(text|content)\b|"
+    r"(?<again>[a-z]{2,6})( \k<again>){2,}\W*$|(asdf|qwer|jkl|foo|bar|baz|test|blah|xxx|lorem|ipsum|text|abc)( (asdf|qwer|jkl|foo|bar|baz|test|blah|xxx|lorem|ipsum|text|abc))+\W*$|"
+    r"(coming soon|under construction|page intentionally left blank|content to be added)\b|(hier steht|ihr text|ici votre texte|votre texte|su texto|texto de (ejemplo|relleno)|texte d'exemple|beispieltext|platzhalter))"
 )
 # Words of the customary Latin filler.
 LATIN = (
@@ -58,83 +65,140 @@ PLACEHOLDER = (
     rf"\bTBD:\s*{NAME}|\[[A-ZÀ-Ý][A-ZÀ-Ý ]+(?:À COMPLÉTER|AQUÍ|EINTRAGEN|EINFÜGEN|HIER|ICI)\]|\[(?:INSÉRER|INSERTAR|ESCRIBA|EINFÜGEN|COMPLÉTER|À COMPLÉTER)\b[^\]\n]{{0,60}}\]"
 )
 SKELETON = r"(?m)^\s*(?:[A-ZÀ-Ý][\p{L}]+ [0-9]+|[A-ZÀ-Ý][\p{L} ]{2,30}):\s*(?:TODO|TBD|TBA|\?\?\?|xxx|XXX|Untitled|\[title\]|\[titre\]|\[Titel\]|\[título\]|to be filled in|to be added|fill me in)\s*$"
+# What ends an outline row of the kind above; looked for first, as it is found faster.
+OUTLINE_END = r"(?m):\s*(?:TODO|TBD|TBA|\?\?\?|xxx|XXX|Untitled|\[[Tt]it|\[tít|to be filled in|to be added|fill me in)"
+MARK = "\x00marked"
 # A mark right after these words, or in quotes, is being talked about.
 MENTION = rf"(?:such as|like|called|named|mark|marks|string|tag|tags|token|syntax|variable|form|written(?: as)?|e\.g\.|for example|for instance|means|notation|script|shell|template|type|write|writes|using|use)[,:]?\s+[\"'`“‘(]?(?:{PLACEHOLDER})|[\"'`“‘](?:{PLACEHOLDER})[\"'`”’]|(?:{PLACEHOLDER})[\"'`”’)]? (?:stands for|stand for|means|denotes|refers to|is replaced|are replaced|is a (?:mark|placeholder|variable|token))"
 
 
+def _let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.transform(F.array(c), then).getItem(0)
+
+
 def normalised(line: Column) -> Column:
     """Lower case, with placeholders, addresses, dates, ids and numbers masked and spacing folded."""
-    x = F.when(line.rlike(r"[{<\[%_(]|TBD"), F.regexp_replace(line, PLACEHOLDER, "<ph>")).otherwise(line)
-    x = F.lower(x)
-    x = F.when(x.rlike("@|://|www"), F.regexp_replace(x, r"(https?://|www\.)\S+|\S+@\S+\.\S+", "<addr>")).otherwise(x)
-    dates = F.regexp_replace(x, r"\b\d{4}-\d{1,2}-\d{1,2}([t ]\d{1,2}:\d{2}(:\d{2})?)?|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b", "<date>")
-    ids = F.regexp_replace(dates, r"\b(?=[a-z]*\d)[a-z0-9]{6,}\b|(?<=_)[a-z0-9]*\d[a-z0-9]{3,}", "#")
-    # dates and ids tell messages apart, which are short; in a long line it is enough to mask the digits
-    x = F.when(~x.rlike("[0-9]"), x).when(F.length(x) > 400, F.regexp_replace(x, "[0-9]+", "#")).otherwise(F.regexp_replace(ids, r"\d+([.,:]\d+)*", "#"))
-    return F.when(x.rlike(r"[\s\p{Z}]{2}|[\t\u00a0]|^\s|\s$"), F.trim(F.regexp_replace(x, WS, " "))).otherwise(x)
+    date = r"\b\d{4}-\d{1,2}-\d{1,2}([t ]\d{1,2}:\d{2}(:\d{2})?)?|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b"
+    number = r"(?<![a-z0-9])[a-z]*+\d[a-z0-9]*+(?:[.,:][a-z]*+\d[a-z0-9]*+)*"
+    steps = [
+        lambda x: F.lower(F.when(x.rlike(r"[{<\[%_(]|TBD"), F.regexp_replace(x, PLACEHOLDER, "<ph>")).otherwise(x)),
+        lambda x: F.when(x.contains("@") | x.contains("://") | x.contains("www."), F.regexp_replace(x, r"(https?://|www\.)\S+|(?<!\S)[^\s@]+@\S+\.\S+", "<addr>")).otherwise(x),
+        lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(F.when(x.rlike(r"\d[-./]\d"), F.regexp_replace(x, date, "<date>")).otherwise(x), number, "#")).otherwise(x),
+        lambda x: F.when(x.contains("  ") | x.rlike(r"[\s\p{Z}&&[^ ]]|^ | $"), F.trim(F.regexp_replace(x, WS, " "))).otherwise(x),
+    ]
+    for step in steps:
+        line = _let(line, step)
+    return line
 
 
 def has_unfilled_placeholder(text: Column) -> Column:
     """A placeholder that the sentence does not merely mention, or an outline row whose title was never given."""
     flat = F.regexp_replace(txt(text), r"\s*\n\s*", " ")
-    marked = txt(text).rlike(r"[{<\[%(]|__|TBD") & flat.rlike(PLACEHOLDER) & F.regexp_replace(flat, MENTION, " ").rlike(PLACEHOLDER)
-    return marked | txt(text).rlike(SKELETON)
+    stands = _let(flat, lambda x: x.rlike(PLACEHOLDER) & F.regexp_replace(x, MENTION, " ").rlike(PLACEHOLDER))
+    marked = F.when(txt(text).rlike(r"[{<\[%(]|__|TBD"), stands).otherwise(False)
+    return marked | (txt(text).rlike(OUTLINE_END) & txt(text).rlike(SKELETON))
 
 
-def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, line_hash, kind, n_words, n): the lines of every document by normalised hash, repeated lines counted.
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}#]+"), F.lit(0))
 
-    ``kind``: message, filler, latin or other. Line texts stay in the scan; only hashes are shuffled."""
+
+def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_key, text_id, src, line_hash, n_words, message, filler, n): the lines of every document by normalised hash, with
+    their words and how many of these stand in sentences that are messages or filler; repeated lines counted.
+
+    ``line_hash`` 0 with ``n_words`` -1 marks a document with an unfilled placeholder. The texts are read once and stay in
+    the scan; only hashes and counts are shuffled."""
+    t = txt(F.col(text))
+    rows = F.split(t, r"\r?\n")
+    rows = F.when(has_unfilled_placeholder(t), F.concat(rows, F.array(F.lit(MARK)))).otherwise(rows)
     one = docs.where(F.col(key).isNotNull() & ~is_blank(F.col(text))).select(
-        F.col(key).alias("doc_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.explode(F.split(txt(F.col(text)), r"\r?\n")).alias("line")
-    )
-    one = one.where(F.trim("line") != "").withColumn("norm", normalised(F.col("line")))
-    # counting blanks will do for the words of a long line, unless it may be filler
-    plain = (F.length("norm") > 400) & ~F.col("norm").contains("lorem") & ~F.col("norm").contains("ipsum") & ~F.col("norm").contains("dolor")
-    ws = F.when(plain, F.split("norm", " ")).otherwise(F.regexp_extract_all("norm", F.lit(r"[\p{L}#]+"), F.lit(0)))
-    n = F.size("ws")
-    latin = F.size(F.filter("ws", lambda w: w.isin(*LATIN)))
-    c = F.col("norm")
-    kind = (
-        F.when((n > 0) & F.arrays_overlap("ws", F.array(*map(F.lit, LATIN[:8]))) & (latin >= 0.7 * n) & (latin >= 3), "latin")
-        .when((n <= 16) & c.rlike(FILLER_LINE), "filler")
-        .when((n <= 24) & (c.rlike(ERROR_LINE) | c.rlike(SCRIPT_LINE)), "message")
-        .otherwise("other")
+        F.col(key).alias("doc_key"), F.coalesce(F.col(source), F.lit("")).alias("src"), F.xxhash64(t).alias("text_id"), F.explode(rows).alias("line")
     )
-    tagged = one.withColumn("ws", ws).select("doc_key", "src", F.xxhash64("norm").alias("line_hash"), kind.alias("kind"), n.alias("n_words"))
-    return tagged.groupBy("doc_key", "src", "line_hash", "kind", "n_words").agg(F.count("*").alias("n"))
-
-
-def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", least_docs: int = 3, least_sources: int = 2, salts: int = 8) -> DataFrame:
+    one = one.where(F.trim("line") != "").withColumn("norm", F.when(F.col("line") == MARK, F.col("line")).otherwise(normalised(F.col("line"))))
+    one = one.select("doc_key", "src", "text_id", "norm", _words(F.col("norm")).alias("ws"))
+    c, n = F.col("norm"), F.size("ws")
+    parts = F.split(c, r"(?<=[.!?…])\s+")
+    script = lambda x: x.rlike(SCRIPT_LINE) | ((x.contains("script") | x.contains("cookie")) & x.rlike(SCRIPT_ANYWHERE))
+    # a rule is tried at the start of the line and of every later sentence; what it finds brings the sentence after it along
+    says = lambda rule: F.transform(parts, lambda x, i: F.when(i == 0, rule(c)).otherwise(rule(x)))
+    taken = lambda flags: F.filter(parts, lambda x, i: F.get(flags, i) | F.coalesce(F.get(flags, i - 1), F.lit(False)))
+    total = lambda rule: _let(says(rule), lambda f: F.when(F.exists(f, lambda y: y), F.aggregate(taken(f), F.lit(0), lambda a, x: a + F.size(_words(x)))).otherwise(0))
+    latin = (n >= 3) & (F.size(F.filter("ws", lambda w: w.isin(*LATIN))) >= 0.7 * n)
+    filler = F.when(latin, n).otherwise(F.least(n, total(lambda x: x.rlike(FILLER_LINE))))
+    message = F.when(latin, 0).otherwise(F.least(n, total(lambda x: x.rlike(ERROR_LINE) | script(x))))
+    mark = c == MARK
+    tagged = one.select(
+        "doc_key", "text_id", "src", F.when(mark, F.lit(0)).otherwise(F.xxhash64("norm")).alias("line_hash"), F.when(mark, F.lit(-1)).otherwise(n).alias("n_words"),
+        F.when(mark, 0).otherwise(message).alias("message"), F.when(mark, 0).otherwise(filler).alias("filler"),
+    )
+    return tagged.groupBy("doc_key", "text_id", "src", "line_hash", "n_words", "message", "filler").agg(F.count("*").alias("n"))
+
+
+def recurring(lines: DataFrame, share: float = 1e-4, least: int = 3, source_share: float = 0.01) -> DataFrame:
+    """(line_hash, texts): the lines that recur widely: in at least ``share`` of all different texts, from two sources or more,
+    or in at least ``source_share`` of the texts of one source; never in fewer than ``least`` texts, which would be chance.
+
+    As every line stands in that share of the texts, there are at most (lines of a text on average) / ``share`` of them."""
+    by_text = lines.where("n_words > 0").groupBy("line_hash", "text_id").agg(F.min("src").alias("low"), F.max("src").alias("high"))
+    by_source = by_text.groupBy("line_hash", "low").agg(F.count("*").alias("d"), F.max("high").alias("high"))
+    texts = lines.groupBy("text_id").agg(F.min("src").alias("low"))
+    sizes = texts.groupBy("low").agg(F.count("*").alias("of"))
+    all_texts = texts.agg(F.count("*").alias("all"))
+    x = by_source.join(sizes, "low")
+    x = x.groupBy("line_hash").agg(F.sum("d").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.when(F.col("d") >= least, F.col("d") / F.col("of"))).alias("most"))
+    x = x.crossJoin(F.broadcast(all_texts)).where((F.col("texts") >= least) & ((F.col("low") != F.col("high")) & (F.col("texts") >= share * F.col("all")) | (F.col("most") >= source_share)))
+    return x.select("line_hash", "texts")
+
+
+def _with_lines(lines: DataFrame, few: DataFrame, largest: int = 200_000, salts: int = 16) -> DataFrame:
+    """``lines`` left-joined with the recurring ones: broadcast when a count says that they are few, else with every line
+    spread over ``salts`` tasks, so that one that a large part of all documents share is not in one task."""
+    if few.limit(largest + 1).count() <= largest:
+        return lines.join(F.broadcast(few), "line_hash", "left")
+    wide = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(salts)).cast("int")).join(wide, ["line_hash", "salt"], "left").drop("salt")
+
+
+def residue(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1e-4, alone: float = 0.8, message_lines: int = 2) -> DataFrame:
     """(doc_key, reason) of the documents that are residue or hold an unfilled placeholder.
 
-    A line is furniture when it is short, no message, and recurs in at least ``least_docs`` documents of at least
-    ``least_sources`` sources. Null and blank texts and null keys give no row; a key with several texts is judged as
-    one document. ``salts`` spreads a line that a large part of all documents share over as many tasks.
+    Known messages and filler count as such wherever they stand. A recurring line (see ``recurring``) that no phrase knows is a
+    message when at least ``alone`` of the texts that hold it say nothing else but recurring lines and known messages, else
+    furniture; a document of nothing but such lines is residue when it has a message among them, which is short, a title and
+    a sentence: at most ``message_lines`` different lines. Null and blank texts and null keys give no row; a key that comes with several texts is
+    residue when one of them is. Copies of a text count once for recurrence and are judged each.
     """
-    lines = cut(line_counts(docs, key, text, source))  # read three times
-    by_source = lines.where("kind = 'other' and n_words <= 12").groupBy("line_hash", "src").agg(F.count("*").alias("d"))
-    wide = by_source.groupBy("line_hash").agg(F.sum("d").alias("docs"), F.count("*").alias("sources")).where((F.col("docs") >= least_docs) & (F.col("sources") >= least_sources))
-    wide = wide.select("line_hash", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(True).alias("furniture"))
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_key"), F.lit(salts)).cast("int"))
-    short = salted.where("kind = 'other' and n_words <= 12").join(wide, ["line_hash", "salt"], "left")
-    rest = salted.where("kind <> 'other' or n_words > 12").withColumn("furniture", F.lit(None).cast("boolean"))
-    each = short.select("doc_key", "kind", "n_words", "n", "furniture").unionByName(rest.select("doc_key", "kind", "n_words", "n", "furniture"))
-    words = F.col("n_words") * F.col("n")
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, words)), F.lit(0))
-    said = (F.col("kind") == "other") & F.col("furniture").isNull() & (F.col("n_words") > 1)
-    per = each.groupBy("doc_key").agg(
-        total(F.col("kind") == "message").alias("message"),
-        total(F.col("kind").isin("filler", "latin")).alias("filler"),
-        total(said).alias("content"),
-        F.coalesce(F.max(F.when(said & (F.col("n") >= 3), F.col("n"))), F.lit(0)).alias("most"),
-        F.coalesce(F.sum(F.when(said, F.col("n"))), F.lit(0)).alias("said_lines"),
+    lines = cut(line_counts(docs, key, text, source))
+    few = cut(recurring(lines, share))
+    each = _with_lines(lines, few)
+    words, n = F.col("n_words") * F.col("n"), F.col("n")
+    plain = (F.col("message") + F.col("filler") == 0) & (F.col("n_words") > 0)
+    said = plain & F.col("texts").isNull() & (F.col("n_words") > 1)
+    total = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0))
+    rest = F.greatest(F.lit(0), F.col("n_words") - F.col("message") - F.col("filler"))
+    per = each.groupBy("doc_key", "text_id").agg(
+        F.coalesce(F.sum(F.col("message") * n), F.lit(0)).alias("message"),
+        F.coalesce(F.sum(F.col("filler") * n), F.lit(0)).alias("filler"),
+        (total(said, words) + total((F.col("n_words") > 0) & ~plain, rest * n)).alias("content"),
+        F.coalesce(F.max(F.when(said & (n >= 3), n)), F.lit(0)).alias("most"),
+        total(said, n).alias("said_lines"),
+        F.max(F.col("n_words") < 0).alias("marked"),
     )
-    verdict = (
+    per = cut(per)
+    reason = (
         F.when((F.col("filler") > 0) & (F.col("filler") >= F.col("content") + F.col("message")), "filler")
         .when((F.col("message") > 0) & (F.col("message") + F.col("filler") >= F.col("content")), "message")
+        .when(F.col("marked"), "placeholder")
         .when((F.col("most") >= 3) & (F.col("most") >= 0.8 * F.col("said_lines")), "repeated line")
     )
-    pages = per.select("doc_key", verdict.alias("reason")).where("reason is not null")
-    marks = docs.where(F.col(key).isNotNull() & has_unfilled_placeholder(F.col(text))).select(F.col(key).alias("doc_key"), F.lit("placeholder").alias("reason"))
-    return pages.unionByName(marks).groupBy("doc_key").agg(F.min("reason").alias("reason"))
+    known = per.select("doc_key", reason.alias("reason")).where("reason is not null")
+    # documents of nothing but recurring lines and messages: few, and only their lines are looked at again
+    bare = per.where("content = 0").select("doc_key", "text_id")
+    there = each.where(plain & F.col("texts").isNotNull()).join(bare, ["doc_key", "text_id"], "left_semi").select("doc_key", "text_id", "line_hash", "texts")
+    lone = there.groupBy("line_hash", "text_id", "texts").agg(F.lit(1).alias("one")).groupBy("line_hash", "texts").agg(F.count("*").alias("lone"))
+    unseen = lone.where(F.col("lone") >= alone * F.col("texts")).select("line_hash")
+    told = _with_lines(there.drop("texts"), unseen.withColumn("texts", F.lit(1))).where("texts = 1")
+    other = told.groupBy("doc_key", "text_id").agg(F.count("*").alias("k")).where(F.col("k") <= message_lines).select("doc_key", F.lit("recurring message").alias("reason"))
+    return known.unionByName(other).groupBy("doc_key").agg(F.min("reason").alias("reason"))

@@ -58,3 +58,32 @@ def test_empty_and_partitioning(spark):
     assert residue.residue(docs(spark).limit(0)).count() == 0
     a = sorted(map(tuple, residue.residue(docs(spark)).collect()))
     assert a == sorted(map(tuple, residue.residue(docs(spark).repartition(7)).collect()))
+
+
+def test_recurring_message_of_unseen_wording(spark):
+    """No phrase knows the line; it recurs over sources and never stands beside content. Menus do, and are furniture."""
+    extra = [(2000 + i, f"Menu\nHelp\nThe room of this unit has moved behind the wall ({i}f3c{i}).\nSite map", "abc"[i % 3]) for i in range(5)]
+    other = ["Heat flows from the warm body to the cold one.", "A proof by cases is often the longest.", "Rivers carry more sand in spring.", "The index falls when prices do.", "Cells divide.", "A norm is convex.", "Verbs agree with nouns.", "Light bends in glass."]
+    extra += [(2500 + i, f"Menu\nHelp\n{t}\nSite map", "ab"[i % 2]) for i, t in enumerate(other)]
+    extra += [(3000, "Menu\nHelp\nSite map", "a"), (3001, "A line that stands alone once.", "b")]
+    got = {r["doc_key"]: r["reason"] for r in residue.residue(docs(spark, extra)).collect()}
+    assert {k for k in got if k >= 2000} == {2000 + i for i in range(5)} and got[2000] == "recurring message"
+
+
+def test_copies_of_a_real_text_do_not_recur(spark):
+    extra = [(4000 + i, "A short real text of one line only, copied often.", "abc"[i % 3]) for i in range(30)]
+    assert not {r["doc_key"] for r in residue.residue(docs(spark, extra)).collect()} & set(range(4000, 4030))
+
+
+def test_messages_in_one_long_line_and_wrapped_filler(spark):
+    long = "Oops! 404 not found. " + "The requested file lens_5eec7a.pdf could not be delivered. Please try again later. " * 4 + "You do not have permission to see this page."
+    wrapped = "sed do eiusmod tempor incididunt ut labore et dolore magna aliqua\nut enim ad minim veniam quis nostrud"
+    digits = " ".join(f"the {i} of {i * 7}" for i in range(120))
+    got = {r["doc_key"]: r["reason"] for r in residue.residue(docs(spark, [(5000, long, "a"), (5001, wrapped, "b"), (5002, digits, "a"), (5003, "blah blah blah blah", "a")])).collect()}
+    assert got[5000] == "message" and got[5001] == "filler" and 5002 not in got and got[5003] == "filler"
+
+
+def test_long_lines_are_masked_like_short_ones(spark):
+    text = "on 2026-01-02 the id was 16a3322637 " * 20
+    row = spark.createDataFrame([(text,)], "l string").select(residue.normalised(F.col("l"))).first()[0]
+    assert row == ("on <date> the id was # " * 20).strip()
