@@ -65,6 +65,10 @@ PLACEHOLDER = (
     rf"\bTBD:\s*{NAME}|\[[A-ZÀ-Ý][A-ZÀ-Ý ]+(?:À COMPLÉTER|AQUÍ|EINTRAGEN|EINFÜGEN|HIER|ICI)\]|\[(?:INSÉRER|INSERTAR|ESCRIBA|EINFÜGEN|COMPLÉTER|À COMPLÉTER)\b[^\]\n]{{0,60}}\]"
 )
 SKELETON = r"(?m)^\s*(?:[A-ZÀ-Ý][\p{L}]+ [0-9]+|[A-ZÀ-Ý][\p{L} ]{2,30}):\s*(?:TODO|TBD|TBA|\?\?\?|xxx|XXX|Untitled|\[title\]|\[titre\]|\[Titel\]|\[título\]|to be filled in|to be added|fill me in)\s*$"
+# What every placeholder begins with; looked for first, as it is found faster.
+OPENING = (
+    r"[{$<\[%_(T](?:(?<=\{)(?:\{|[a-z]{4}|[a-z]+_)|(?<=\$)\{|(?<=<)[%A-Za-z]|(?<=\[)(?:\[|[A-ZÀ-Ýa-zà-ÿ]{3})|(?<=%)%|(?<=_)_[A-ZÀ-Ý]|(?<=\()(?:replace|fill|insert) |(?<=T)BD)"
+)
 # What ends an outline row of the kind above; looked for first, as it is found faster.
 OUTLINE_END = r"(?m):\s*(?:TODO|TBD|TBA|\?\?\?|xxx|XXX|Untitled|\[[Tt]it|\[tít|to be filled in|to be added|fill me in)"
 MARK = "\x00marked"
@@ -82,10 +86,10 @@ def normalised(line: Column) -> Column:
     date = r"\b\d{4}-\d{1,2}-\d{1,2}([t ]\d{1,2}:\d{2}(:\d{2})?)?|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b"
     number = r"(?<![a-z0-9])[a-z]*+\d[a-z0-9]*+(?:[.,:][a-z]*+\d[a-z0-9]*+)*"
     steps = [
-        lambda x: F.lower(F.when(x.rlike(r"[{<\[%_(]|TBD"), F.regexp_replace(x, PLACEHOLDER, "<ph>")).otherwise(x)),
+        lambda x: F.lower(F.when(x.rlike(OPENING), F.regexp_replace(x, PLACEHOLDER, "<ph>")).otherwise(x)),
         lambda x: F.when(x.contains("@") | x.contains("://") | x.contains("www."), F.regexp_replace(x, r"(https?://|www\.)\S+|(?<!\S)[^\s@]+@\S+\.\S+", "<addr>")).otherwise(x),
         lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(F.when(x.rlike(r"\d[-./]\d"), F.regexp_replace(x, date, "<date>")).otherwise(x), number, "#")).otherwise(x),
-        lambda x: F.when(x.contains("  ") | x.rlike(r"[\s\p{Z}&&[^ ]]|^ | $"), F.trim(F.regexp_replace(x, WS, " "))).otherwise(x),
+        lambda x: F.when(x.contains("  ") | x.startswith(" ") | x.endswith(" ") | x.rlike(r"[\s\p{Z}&&[^ ]]"), F.trim(F.regexp_replace(x, WS, " "))).otherwise(x),
     ]
     for step in steps:
         line = _let(line, step)
@@ -96,7 +100,7 @@ def has_unfilled_placeholder(text: Column) -> Column:
     """A placeholder that the sentence does not merely mention, or an outline row whose title was never given."""
     flat = F.regexp_replace(txt(text), r"\s*\n\s*", " ")
     stands = _let(flat, lambda x: x.rlike(PLACEHOLDER) & F.regexp_replace(x, MENTION, " ").rlike(PLACEHOLDER))
-    marked = F.when(txt(text).rlike(r"[{<\[%(]|__|TBD"), stands).otherwise(False)
+    marked = F.when(txt(text).rlike(OPENING), stands).otherwise(False)
     return marked | (txt(text).rlike(OUTLINE_END) & txt(text).rlike(SKELETON))
 
 
@@ -119,15 +123,20 @@ def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     one = one.where(F.trim("line") != "").withColumn("norm", F.when(F.col("line") == MARK, F.col("line")).otherwise(normalised(F.col("line"))))
     one = one.select("doc_key", "src", "text_id", "norm", _words(F.col("norm")).alias("ws"))
     c, n = F.col("norm"), F.size("ws")
-    parts = F.split(c, r"(?<=[.!?…])\s+")
     script = lambda x: x.rlike(SCRIPT_LINE) | ((x.contains("script") | x.contains("cookie")) & x.rlike(SCRIPT_ANYWHERE))
-    # a rule is tried at the start of the line and of every later sentence; what it finds brings the sentence after it along
-    says = lambda rule: F.transform(parts, lambda x, i: F.when(i == 0, rule(c)).otherwise(rule(x)))
-    taken = lambda flags: F.filter(parts, lambda x, i: F.get(flags, i) | F.coalesce(F.get(flags, i - 1), F.lit(False)))
-    total = lambda rule: _let(says(rule), lambda f: F.when(F.exists(f, lambda y: y), F.aggregate(taken(f), F.lit(0), lambda a, x: a + F.size(_words(x)))).otherwise(0))
+    rule = lambda x: F.when(x.rlike(FILLER_LINE), 1).when(x.rlike(ERROR_LINE) | script(x), 2).otherwise(0)
+
+    def words_told(parts: Column, told: Column) -> Column:
+        """The words of filler (1) and of messages (2). What a rule finds brings the sentence after it along."""
+        of = lambda k: F.aggregate(F.filter(parts, lambda x, i: (F.get(told, i) == k) | F.coalesce((F.get(told, i - 1) == k) & (F.get(told, i) == 0), F.lit(False))), F.lit(0), lambda a, x: a + F.size(_words(x)))
+        return F.when(F.exists(told, lambda k: k > 0), F.struct(of(1).alias("filler"), of(2).alias("message")))
+
+    # a rule is tried at the start of the line and of every later sentence
+    told = _let(F.split(c, r"(?<=[.!?…])\s+"), lambda parts: _let(F.transform(parts, lambda x, i: F.when(i == 0, rule(c)).otherwise(rule(x))), lambda t: words_told(parts, t)))
     latin = (n >= 3) & (F.size(F.filter("ws", lambda w: w.isin(*LATIN))) >= 0.7 * n)
-    filler = F.when(latin, n).otherwise(F.least(n, total(lambda x: x.rlike(FILLER_LINE))))
-    message = F.when(latin, 0).otherwise(F.least(n, total(lambda x: x.rlike(ERROR_LINE) | script(x))))
+    one = one.withColumns({"told": told, "latin": latin})
+    filler = F.when(F.col("latin"), n).otherwise(F.least(n, F.coalesce("told.filler", F.lit(0))))
+    message = F.when(F.col("latin"), 0).otherwise(F.least(n, F.coalesce("told.message", F.lit(0))))
     mark = c == MARK
     tagged = one.select(
         "doc_key", "text_id", "src", F.when(mark, F.lit(0)).otherwise(F.xxhash64("norm")).alias("line_hash"), F.when(mark, F.lit(-1)).otherwise(n).alias("n_words"),
