@@ -26,6 +26,12 @@ PROSE_OR_NOT = [
     ("Neither the buyer nor the seller knows the true value of the good. Under what condition does a trade take place?", 0),
     ("Consider the reaction at room temperature:\nA + B -> C\nIts rate depends on both concentrations. Derive the rate law and draw the curve.", 0),
     ("- 7 -\nThe poet speaks of the sea as of a road. Discuss the image and compare it with the one on the previous page.", 0),
+    ("Comparative investigations of administrative decentralisation demonstrate considerable redistribution of responsibility, although subsequent interpretation\nremains methodologically contested among institutional "
+     "practitioners.", 0),
+    ("Notwithstanding pronounced terminological heterogeneity, contemporary classifications of neurophysiological excitability presuppose proportional\nhomogenisation, thereby necessitating additional experimental "
+     "differentiation. Neither phenomenological reconstruction nor statistical approximation demonstrates universality irrespective of conventional parameterisation.", 0),
+    ("Every sufficiently rigorous axiomatisation of intertemporal substitutability necessitates irreducibly probabilistic representations, whereas predominantly\ndeterministic formulations underestimate multidimensional "
+     "interdependence. Insofar as quantitative verification remains indeterminate, hypothetical generalisation accommodates unobservable particularities.", 0),
     ("1. Osmosis\n2. Cell wall\n3. Ribosome\n4. Mitochondria\n5. Nucleus\n6. Enzymes 3.14\n7. Plasma", 1),
     ("Reading list\n- linear maps\n- dual spaces\n- tensor products\n- exterior powers\n- determinants", 1),
     ("Name Price Units\nbolt 0.15 4000\nnut 0.11 5200\nwasher 0.02 9100\nrivet 0.31 870", 1),

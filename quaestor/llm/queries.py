@@ -160,15 +160,12 @@ SELECT q_id_a, q_id_b FROM c JOIN s a ON a.q_id = q_id_a JOIN s b ON b.q_id = q_
 WHERE len(list_intersect(a.w, b.w)) >= 0.75 * len(list_distinct(list_concat(a.w, b.w)))""",
         "p1_statistics": texts
         + r""", b AS (
-  SELECT tbl, regexp_replace(text, '(\p{L})(?:-|­)\r?\n(\p{Ll})', '\1\2', 'g') AS raw FROM u
-), c AS (
-  SELECT tbl, CASE WHEN len(list_filter(regexp_split_to_array(raw, '\r?\n'), lambda x: trim(x) <> '')) >= 4
-    THEN regexp_replace(raw, '^\s*[^\n]+\n', '') ELSE raw END AS t FROM b
+  SELECT tbl, regexp_replace(text, '(\p{L})(?:-|­)\r?\n(\p{Ll})', '\1\2', 'g') AS t FROM u
 ), f AS (
   SELECT tbl, len(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS n_words,
     list_filter(regexp_split_to_array(t, '\r?\n'), lambda x: trim(x) <> '') AS lines,
     length(regexp_replace(t, '[ \n\t\r]+', '', 'g')) AS solid,
-    length(regexp_replace(t, '[ \n\t\r]+', '', 'g')) - length(array_to_string(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), '')) AS symbols FROM c
+    length(regexp_replace(t, '[ \n\t\r]+', '', 'g')) - length(array_to_string(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), '')) AS symbols FROM b
 )
 SELECT tbl, count(*) AS texts, CAST(sum(n_words) AS BIGINT) AS words,
   round(avg(CASE WHEN len(lines) = 0 THEN 0 ELSE len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;,]["'')]?\s*$'))) * 1.0 / len(lines) END), 6) AS end_punct_share,

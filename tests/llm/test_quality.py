@@ -44,3 +44,24 @@ def test_introduction_and_partitioning_change_nothing(spark):
     a = {r["text"]: round(r["p_structural"], 9) for r in quality.score(df).collect()}
     b = {r["text"]: round(r["p_structural"], 9) for r in quality.score(df.repartition(9, "text")).collect()}
     assert a == b and [p for t, p in a.items() if t.startswith("The table of all")][0] > 0.5
+
+
+def test_whole_texts_are_measured(spark):
+    rows = [("one two\nthree four\nfive six\nseven eight", 8), ("one two\nthree four\nfive six seven", 7), ("A lead-in of five words:\na\nb\nc", 9)]
+    got = quality.with_stats(spark.createDataFrame(rows, "text string, n int")).select("n", "n_words").collect()
+    assert all(r["n"] == r["n_words"] for r in got)
+
+
+def test_only_an_introduction_is_set_aside(spark):
+    prose = "The rate grows with the load.\nWe see this in the first table of the\nreport. It falls at once when the load\nis taken off. Show why."
+    rows = [("Here are the terms of this week:\nheap\nstack\nqueue", "heap\nstack\nqueue"), (prose, prose), ("Terms\nheap\nstack\nqueue", "Terms\nheap\nstack\nqueue")]
+    got = quality.without_introduction(spark.createDataFrame(rows, "text string, want string"), "text", "out").collect()
+    assert all(r["out"] == r["want"] for r in got)
+
+
+def test_texts_that_training_never_saw(spark):
+    from quaestor.llm.corpus import item_rows, keys_and_texts
+
+    held = quality.holdout(quality.fit(keys_and_texts(item_rows(spark, "/root/testdata/sf0.01"))[1]), spark)
+    print(held)
+    assert held["texts"] >= 14 and held["accuracy"] >= 0.9 and held["calibration_error"] < 0.15
