@@ -2,7 +2,8 @@
 
 Features (lexical diversity, word rarity, connectives, a clause-depth proxy, lengths) are column expressions; the
 proportional-odds model is fitted on a bounded sample whose grades come from published readability formulas that
-agree, and calibrated to graded passages.
+agree, and calibrated to graded passages. The formulas rest on syllables, long words and words per sentence; none of these is a
+feature, so that the regression has to find the level by other signs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions.text import count_in, ratio, txt
@@ -24,7 +25,8 @@ CONNECTIVES = (
     "although because before after since unless until whereas while whenever wherever whether though thus hence therefore moreover however nevertheless "
     "furthermore consequently notwithstanding insofar provided irrespective thereby otherwise if when that which who whose whom as than where why how"
 ).split()
-FEATURES = ["word_len", "sentence_len", "syllables", "long_share", "root_ttr", "rare_share", "connective_share", "clauses", "longest"]
+FEATURES = ["word_len", "root_ttr", "rare_share", "connective_share", "clauses", "longest"]
+MEASURES = [*FEATURES, "sentence_len", "syllables", "long_share"]  # the last three serve the formulas only
 LEVELS = [3.5, 8.5, 12.5, 16.5]  # upper ends of the grade bands; the first is `easy`, what lies above the last is `hard`
 RARE_BELOW = 5e-4  # a word is common when it makes up this share of all words: at most 1 / RARE_BELOW words can be
 
@@ -38,10 +40,10 @@ def common_words(df: DataFrame, text: str = "text") -> list[str]:
 
 
 def with_features(df: DataFrame, common: list[str], text: str = "text") -> DataFrame:
-    """Adds ``FEATURES`` and ``n_words``. Null and blank texts get zeros. Columns of these names are replaced."""
+    """Adds ``MEASURES`` and ``n_words``. Null and blank texts get zeros. Columns of these names are replaced."""
     t = F.regexp_replace(txt(F.col(text)), r"(\p{L})(?:-|­)\s+(?=\p{Ll})", "$1")
     t = F.regexp_replace(t, r"(?<=\d)[.,](?=\d)", "")
-    sentence = F.split("_t", r"(?<=\p{L}{2}[.!?][\"')]?|\d[.!?])\s+|\n\s*\n|\n(?=\s*(?:\([a-z0-9]\)|[-*•]))")
+    sentence = F.split("_t", r"(?<=\p{L}{2}[.!?][\"')]?|\d[.!?])\s+|\n\s*\n|\n(?=\s*(?:\([a-z0-9]\)|[-*•]))|\n(?=\p{Lu}\p{L}* \p{Ll})")  # a title has no full stop, but a sentence begins below it
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
     x = df.withColumn("_t", t).withColumns({"_w": words(F.col("_t")), "_s": F.filter(F.transform(sentence, lambda s: F.size(words(s))), lambda n: n >= 2)})
     w, s = F.col("_w"), F.col("_s")
@@ -122,23 +124,31 @@ def fit_ordinal(x: np.ndarray, level: np.ndarray, weight: np.ndarray, l2: float
     return Ordinal(mean, scale, p[:d], p[d] + np.concatenate([[0], np.cumsum(gaps)]))
 
 
+def _graded(spark: SparkSession, part: int, common: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and grades of one third of the graded passages: 0 for the fit, 1 for the cut points, 2 for the test."""
+    rows = [(float(g), t) for i, (g, t) in enumerate(GRADED) if i % 3 == part]
+    p = with_features(spark.createDataFrame(rows, "grade double, text string"), common).select(*FEATURES, "grade").toPandas()
+    return p[FEATURES].to_numpy(float), p["grade"].to_numpy(float)
+
+
 def fit(df: DataFrame, common: list[str], text: str = "text", sample: int = 8000) -> Ordinal:
     """Fits on about ``sample`` rows (at most twice as many), those of them that get a weak grade, each band weighing the
-    same, and on the graded passages, which together weigh a third; the outer cut points are then moved between the
-    graded passages on either side where these can be told apart."""
+    same, and on a third of the graded passages, which together weigh a third; the outer cut points are then moved between
+    the passages of another third on either side where these can be told apart. The last third is only for ``holdout``."""
     spark = df.sparkSession
     level = F.lit(0)
     for c in LEVELS:
         level = level + F.when(F.col("grade") > c, 1).otherwise(0)
     feats = with_features(text_sample(df.where(F.length(text) > 0).select(text), text, sample), common, text)
     rows = feats.withColumn("grade", formula_grade()).where("grade is not null").select(*FEATURES, level.alias("level")).toPandas()
-    own = with_features(spark.createDataFrame([(float(g), t) for g, t in GRADED], "grade double, text string"), common).withColumn("level", level).select(*FEATURES, "level", "grade").toPandas()
-    x = np.vstack([rows[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), own[FEATURES].to_numpy(float)])
-    y = np.concatenate([rows["level"].to_numpy(int), own["level"].to_numpy(int)])
+    own, grade = _graded(spark, 0, common)
+    x = np.vstack([rows[FEATURES].to_numpy(float).reshape(-1, len(FEATURES)), own])
+    y = np.concatenate([rows["level"].to_numpy(int), np.searchsorted(LEVELS, grade, side="left")])
     counts = rows["level"].value_counts()
     w = np.concatenate([[1 / counts[k] for k in rows["level"]], np.full(len(own), max(1, len(counts)) / 2 / len(own))])
     model = fit_ordinal(x, y, w)
-    f, g = model.latent(own[FEATURES].to_numpy(float)), own["grade"].to_numpy()
+    other, g = _graded(spark, 1, common)
+    f = model.latent(other)
     for at in (0, len(LEVELS) - 1):
         low, high = f[g <= LEVELS[at]].max(), f[g > LEVELS[at]].min()
         if low < high:
@@ -146,6 +156,16 @@ def fit(df: DataFrame, common: list[str], text: str = "text", sample: int = 8000
     return model
 
 
+def holdout(model: Ordinal, common: list[str], spark: SparkSession) -> dict[str, float]:
+    """On passages that the fit has not seen: rank agreement with their grades, and how many of the bands are right."""
+    x, g = _graded(spark, 2, common)
+    f = model.latent(x)
+    rank = lambda v: pd.Series(v).rank().to_numpy()
+    band = lambda level: np.where(level == 0, -1, np.where(level == len(LEVELS), 1, 0))
+    right = band(np.searchsorted(model.cuts, f)) == band(np.searchsorted(LEVELS, g))
+    return {"texts": len(g), "rank_agreement": float(np.corrcoef(rank(f), rank(g))[0, 1]), "bands_right": float(right.mean())}
+
+
 def score(df: DataFrame, text: str = "text", sample: int = 8000) -> DataFrame:
     """``df`` with features, ``level`` (0 easiest to 4 hardest), ``p_easy`` and ``p_hard``; null for blank texts."""
     common = common_words(df, text)

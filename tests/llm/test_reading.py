@@ -34,3 +34,13 @@ def test_ordinal_fit_recovers_order():
     y = np.digitize(2 * x[:, 0] - x[:, 1], [-2, -0.5, 0.5, 2])
     m = reading.fit_ordinal(x, y, np.ones(len(y)))
     assert (np.abs(np.digitize(m.latent(x), m.cuts) - y) <= 1).mean() > 0.97 and (np.diff(m.cuts) > 0).all()
+
+
+def test_passages_that_the_fit_never_saw(spark):
+    from quaestor.llm.queries import _fields
+
+    texts = _fields(spark, "/root/testdata/sf0.01")[1]
+    common = reading.common_words(texts)
+    held = reading.holdout(reading.fit(texts, common), common, spark)
+    print(held)
+    assert held["texts"] >= 8 and held["rank_agreement"] > 0.8 and held["bands_right"] >= 0.75
