@@ -53,9 +53,13 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    """The repaired text of every row, continuous and without page lines."""
+    """The text of every row, continuous and without page lines. Lists, tables and junk have no running text to repair and
+    come as they stand; blank and null texts come empty."""
+    rows = item_rows(spark, sf).where(F.col("row_key").isNotNull())
     keys, prose = _prose(spark, sf)
-    return keys.join(scan_repair.repair(prose, titles=table(spark, sf, "course_meta").select("title"), unique=True).select("text_id", "repaired"), "text_id").select("tbl", "row_key", "repaired")
+    done = scan_repair.repair(prose, titles=table(spark, sf, "course_meta").select("title"), unique=True).select("text_id", "repaired")
+    each = rows.select("tbl", "row_key", F.when(is_blank(F.col("text")), "").otherwise(F.col("text")).alias("text")).distinct().withColumn("text_id", F.md5("text"))
+    return each.join(done, "text_id", "left").select("tbl", "row_key", F.coalesce("repaired", "text").alias("repaired"))
 
 
 def _fields(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
