@@ -70,32 +70,42 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     )
     words, lines = F.col("_words"), F.col("_lines")
     n = F.size(words)
-    length = F.transform(lines, lambda x: F.size(F.split(F.trim(x), r"\s+")))
-    solid = F.length(F.translate(t, " \n\t\r", ""))
-    signs = F.length(F.array_join(words, ""))
+    tight = t
+    for blank in " \n\t\r":  # far cheaper than one translation of them all
+        tight = F.replace(tight, F.lit(blank), F.lit(""))
 
     def inside(part: Column) -> Column:
-        ws = F.split(F.lower(part), r"\s+")
-        whole = part.rlike(r"[\p{L}\p{N})\]\"'][.!?][\"')]?\s*$") & (F.size(ws) >= 5) & (count_in(ws, COMMON) * 20 >= F.size(ws))
-        return F.when(whole, F.size(ws)).otherwise(0)
+        """The words of a part that is a running sentence: it ends like one and has enough common words."""
+        words_in = F.transform(F.array(F.split(F.lower(part), r"\s+")), lambda ws: F.when((F.size(ws) >= 5) & (count_in(ws, COMMON) * 20 >= F.size(ws)), F.size(ws)).otherwise(0)).getItem(0)
+        return F.when(part.rlike(r"[\p{L}\p{N})\]\"'][.!?][\"')]?\s*$"), words_in).otherwise(0)
 
+    # what several statistics share is a column of its own, else each use would compute it again
+    odd = r"[bcdfghjklmnpqrstvwxz]{5}|\b[bcdfghjklmnpqrstvwxz]{3,}\b|[a-z][0-9]+[a-z]"
+    staged = staged.withColumns(
+        {
+            "_n": n, "_k": F.size(lines), "_solid": F.length(tight), "_signs": F.length(F.array_join(words, "")), "_short": F.size(F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")) <= 6)),
+            "_sentence": F.aggregate(F.transform(F.col("_parts"), inside), F.lit(0), lambda a, b: a + b), "_odd": F.regexp_count(F.lower(t), F.lit(odd)), "_digits": F.regexp_count(t, F.lit("[0-9]")),
+            "_numbers": F.regexp_count(t, F.lit(r"\b[0-9]+\b")), "_common": count_in(words, COMMON),
+        }
+    )
+    n, k, solid, signs = F.col("_n"), F.col("_k"), F.col("_solid"), F.col("_signs")
     feats = {
         "n_words": n.cast("double"),
-        "n_lines": F.size(lines).cast("double"),
+        "n_lines": k.cast("double"),
         "mean_word_len": ratio(signs, n),
         "symbol_ratio": F.greatest(F.lit(0.0), ratio(solid - signs, solid)),
-        "digit_ratio": ratio(F.length(t) - F.length(F.translate(t, "0123456789", "")), solid),
+        "digit_ratio": ratio(F.col("_digits"), solid),
         "end_punct_share": _share(lines, lambda x: x.rlike(r"[.!?:;,][\"')]?\s*$")),
-        "common_share": ratio(count_in(words, COMMON), n),
-        "words_per_line": ratio(n, F.size(lines)),
-        "short_line_share": _share(length, lambda k: k <= 6),
-        "odd_word_share": F.least(F.lit(1.0), ratio(F.regexp_count(F.lower(t), F.lit(r"[bcdfghjklmnpqrstvwxz]{5}|\b[bcdfghjklmnpqrstvwxz]{3,}\b|[a-z][0-9]+[a-z]")), n)),
-        "sentence_word_share": F.least(F.lit(1.0), ratio(F.aggregate(F.transform(F.col("_parts"), inside), F.lit(0), lambda a, b: a + b), n)),
+        "common_share": ratio(F.col("_common"), n),
+        "words_per_line": ratio(n, k),
+        "short_line_share": ratio(F.col("_short"), k),
+        "odd_word_share": F.least(F.lit(1.0), ratio(F.col("_odd"), n)),
+        "sentence_word_share": F.least(F.lit(1.0), ratio(F.col("_sentence"), n)),
         "marker_share": _share(lines, lambda x: x.rlike(r"^\s*([-*•◦·‣–]|\(?[0-9a-z]{1,3}[.)]|[#|+])\s*")),
-        "number_share": F.least(F.lit(1.0), ratio(F.regexp_count(t, F.lit(r"\b[0-9]+\b")), n)),
+        "number_share": F.least(F.lit(1.0), ratio(F.col("_numbers"), n)),
         "distinct_share": ratio(F.size(F.array_distinct(words)), n),
     }
-    return staged.withColumns(feats).drop("_lines", "_words", "_parts", "_body")
+    return staged.withColumns(feats).drop("_lines", "_words", "_parts", "_body", "_n", "_k", "_solid", "_signs", "_short", "_sentence", "_odd", "_digits", "_numbers", "_common")
 
 
 def weak_label() -> Column:
