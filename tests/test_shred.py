@@ -25,7 +25,11 @@ def test_identical_objects_once_and_every_occurrence(spark):
     p = t["elements:c.parts"].orderBy("ordinal").collect()
     assert p[0]["value"]["n"] == 1 and p[1]["value"] is None
     b = t["bridge"].groupBy("parent", "field").count().collect()
-    assert {(r[0], r[1]): r[2] for r in b} == {("row", "q"): 3, ("row", "c"): 3, ("row__q", "meta"): 2, ("row__c", "meta"): 1}
+    assert {(r[0], r[1]): r[2] for r in b} == {
+        ("row", "q"): 3, ("row", "c"): 3, ("row__q", "meta"): 2, ("row__c", "meta"): 1, ("row__c", "goals"): 4, ("row__c", "parts"): 2, ("row__c__parts[]", "tags"): 1,
+    }
+    assert t["values:c.goals[]"].count() == 2 and t["values:c.parts[].tags[]"].collect()[0]["value"] == "t"
+    assert sorted(r["copies"] for r in t["occurrences"].collect()) == [1, 1, 1, 1, 2]
 
 
 def test_identity_ignores_field_order_and_partitioning(spark):
@@ -55,3 +59,49 @@ def test_empty_table_and_maps(spark):
 def test_long_text_and_clashing_column(spark):
     df = spark.createDataFrame([(("y" * 500_000,), "own")], "s struct<object_id:string>, object_id string")
     assert len(shred.objects(df, "s").first()["object_id_"]) == 500_000
+
+
+DEEP = "k int, o struct<xs:array<struct<a:int, b:array<struct<c:string, m:map<string,struct<z:int>>>>, n:array<array<int>>>>>"
+
+
+def deep(spark):
+    b1, b2 = ("p", {"u": (1,), "v": None}), ("q", {})
+    rows = [(1, ([(10, [b1, None, b2], [[1, 2], [], None]), (11, [b1], None)],)), (2, ([(10, [b1, None, b2], [[1, 2], [], None]), None],)), (3, None), (4, ([],)), (1, ([(10, [b1, None, b2], [[1, 2], [], None]), (11, [b1], None)],))]
+    return spark.createDataFrame(rows, DEEP)
+
+
+def test_arrays_of_objects_are_rebuilt_from_the_flat_tables_alone(spark):
+    df = deep(spark)
+    t = {k: v.collect() for k, v in shred.shred(df, "row").items()}
+    assert len(t["objects:o.xs[]"]) == 2 and len(t["objects:o.xs[].b[]"]) == 2  # equal objects once
+    links = {}
+    for r in t["bridge"]:
+        links.setdefault((r["parent_id"], r["field"]), {})[r["ordinal"]] = (r["key"], r["child_id"])
+    table = lambda name: {r["object_id"]: r.asDict() for r in t[name]}
+    many = lambda pid, field, make: [None if links[pid, field][i][1] is None else make(links[pid, field][i][1]) for i in sorted(links.get((pid, field), {}))]
+    z, c, a, ints, rec = table("objects:o.xs[].b[].m{}"), table("objects:o.xs[].b[]"), table("objects:o.xs[]"), table("values:o.xs[].n[][]"), table("objects:")
+    make_b = lambda i: {"c": c[i]["c"], "m": {k: z[v]["z"] if v else None for k, v in links.get((i, "m"), {}).values()}}
+    make_n = lambda i: many(i, "", lambda v: ints[v]["value"])
+    make_x = lambda i: {"a": a[i]["a"], "b": many(i, "b", make_b), "n": many(i, "n", make_n)}
+    got = []
+    for r in t["occurrences"]:
+        o = links.get((r["object_id"], "o"), {})
+        got += [(rec[r["object_id"]]["k"], many(o[1][1], "xs", make_x) if o else None)] * r["copies"]
+
+    def plain(x):
+        return {"a": x["a"], "b": [None if b is None else {"c": b["c"], "m": {k: v["z"] if v else None for k, v in b["m"].items()}} for b in x["b"] or []], "n": x["n"] or []}
+
+    want = [(r["k"], None if r["o"] is None else [None if x is None else plain(x) for x in r["o"]["xs"]]) for r in df.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_flat_records_have_no_links(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "n int, s string")
+    t = shred.shred(df)
+    assert t["bridge"].count() == 0 and t["objects:"].count() == 2 and t["occurrences"].agg(F.sum("copies")).first()[0] == 3
+
+
+def test_tags_are_the_identities(spark):
+    df = deep(spark)
+    x = df.select(shred.tagged(F.col("o"), df.schema["o"].dataType)["id"].alias("a"), shred.identity(F.col("o"), df.schema["o"].dataType).alias("b"))
+    assert all(r["a"] == r["b"] for r in x.collect())
