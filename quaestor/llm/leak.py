@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,46 +67,37 @@ def windows(items: list[tuple[int, str | None]], run: int) -> dict[tuple[str, ..
     return out
 
 
-def leaks(docs: DataFrame, items: DataFrame, run: int = 12, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "question", block: int = 2000) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, run: int = 12, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "question", block: int = 20_000) -> DataFrame:
     """(doc_key, item_key) for every document that holds at least ``run`` consecutive words of an item, in order.
 
-    Items are read in blocks of at most ``block`` (hash-partitioned), so the tables sent to the executors have a
-    proven bound however many items there are; documents are scanned once per block and never shuffled. Copies of a
-    document count each, a window that several items share counts for each. Null texts and keys give nothing.
+    The search tables are built once on the driver and sent to the executors; items beyond about ``block`` are hashed into
+    blocks of that size, one scan of the documents each, so that the tables stay bounded however many items there are.
+    Documents are never shuffled. Copies of a document count each, a window that several items share counts for each. Null
+    texts and keys give nothing.
     """
-    n = items.count()
-    parts = max(1, -(-n // max(1, block // 2)))
-    doc_type, item_type = docs.schema[doc_key].dataType, items.schema[item_key].dataType
-    schema = f"{doc_key} {doc_type.simpleString()}, {item_key} {item_type.simpleString()}"
+    spark = docs.sparkSession
+    own = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).distinct()
+    blocks = max(1, -(-own.count() // block))
+    schema = f"{doc_key} {docs.schema[doc_key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}"
     source = docs.select(doc_key, text).where(F.col(doc_key).isNotNull() & F.col(text).isNotNull())
-    out = None
-    for k in range(parts):
-        mine = items.where(F.col(item_key).isNotNull() & (F.pmod(F.xxhash64(item_key), F.lit(parts)) == k)).select(item_key, item_text).distinct()
-        if parts > 1:
-            rows = mine.limit(block + 1).collect()
-            if len(rows) > block:
-                raise ValueError(f"a block of items holds more than {block} rows; choose a larger block")
-        else:
-            rows = mine.collect()
-        found = _search(source, windows([(r[0], r[1]) for r in rows], run), doc_key, text, item_key, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.distinct() if parts > 1 else out
-
-
-def _search(source: DataFrame, patterns: dict, doc_key: str, text: str, item_key: str, schema: str) -> DataFrame:
-    spark = source.sparkSession
-    if not patterns:
-        return spark.createDataFrame([], schema)
-    shared = spark.sparkContext.broadcast(patterns)
+    found = [spark.createDataFrame([], schema)]
+    for k in range(blocks):
+        mine = own.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k).collect()
+        patterns = windows([(r[0], r[1]) for r in mine], run)
+        if patterns:
+            found.append(_search(source, spark.sparkContext.broadcast(WuManber(patterns)), doc_key, text, item_key, schema))
+    return reduce(DataFrame.unionByName, found[1:] or found).distinct()
 
+
+def _search(source: DataFrame, engine: Broadcast, doc_key: str, text: str, item_key: str, schema: str) -> DataFrame:
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine = WuManber(shared.value)
+        search = engine.value.search
         for b in batches:
             keys, ids = [], []
             for key, t in zip(b[doc_key], b[text]):
-                for i in sorted(engine.search(words_of(t))):
+                for i in sorted(search(words_of(t))):
                     keys.append(key)
                     ids.append(i)
             yield pd.DataFrame({doc_key: keys, item_key: ids})
 
-    return source.mapInPandas(scan, schema).distinct()
+    return source.mapInPandas(scan, schema)

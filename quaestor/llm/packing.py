@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaestor.runtime import cut
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -73,19 +75,23 @@ def balanced(sizes: np.ndarray, capacity: int, quadratic: float = 1.0) -> np.nda
     return out
 
 
-def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, group_items: int = 4000, quadratic: float = 1.0) -> DataFrame:
-    """(container, doc_key, piece, start_token, n_tokens): a place for every token of every document.
+def sizes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """``token_counts``, written once: packing reads them several times, and every text is tokenised only once."""
+    return cut(token_counts(docs, key, text, tokenizer))
+
+
+def place(sizes: DataFrame, capacity: int, group_items: int = 4000, quadratic: float = 1.0) -> DataFrame:
+    """(container, doc_key, piece, start_token, n_tokens): a place for every token of every document in ``sizes`` (``sizes_of``).
 
     Full pieces fill a container of their own at once. The others are hashed by (key, piece) into groups of about
     ``group_items``, whose number follows from a count, so a task's memory is bounded however many items there are.
     A key that comes with several texts gets a place for each. No documents, no rows.
     """
-    parts = pieces(token_counts(docs, key, text, tokenizer), capacity)
-    kind = docs.schema[key].dataType.simpleString()
+    parts = pieces(sizes, capacity)
+    kind = sizes.schema["doc_key"].dataType.simpleString()
     schema = f"container string, doc_key {kind}, piece int, start_token int, n_tokens int"
     full = parts.where(F.col("n_tokens") == capacity).select(F.concat_ws("-", F.lit("full"), F.col("doc_key").cast("string"), F.col("piece").cast("string")).alias("container"), "doc_key", "piece", "start_token", "n_tokens")
-    n = docs.where(F.col(key).isNotNull() & (F.length(text) > 0)).count()
-    groups = max(1, -(-n // group_items))
+    groups = max(1, -(-sizes.count() // group_items))
     rest = parts.where(F.col("n_tokens") < capacity).withColumn("grp", F.pmod(F.xxhash64("doc_key", "piece", "n_tokens"), F.lit(groups)).cast("int"))
 
     def fill(g: pd.DataFrame) -> pd.DataFrame:
@@ -95,3 +101,8 @@ def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text"
         return pd.DataFrame({"container": names, "doc_key": g["doc_key"], "piece": g["piece"], "start_token": g["start_token"], "n_tokens": g["n_tokens"]})
 
     return full.unionByName(rest.groupBy("grp").applyInPandas(fill, schema))
+
+
+def pack(docs: DataFrame, capacity: int, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, group_items: int = 4000, quadratic: float = 1.0) -> DataFrame:
+    """``place`` for the texts of ``docs``."""
+    return place(sizes_of(docs, key, text, tokenizer), capacity, group_items, quadratic)

@@ -93,9 +93,9 @@ def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Containers used and the share of them filled, for every capacity of table containers."""
-    out = None
+    out, sizes = None, packing.sizes_of(table(spark, sf, "documents"))
     for k in table(spark, sf, "containers").select("container_kind", "capacity_tokens").distinct().collect():
-        x = packing.pack(table(spark, sf, "documents"), k["capacity_tokens"])
+        x = packing.place(sizes, k["capacity_tokens"])
         each = x.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
         each = each.select(F.lit(k["container_kind"]).alias("container_kind"), "containers", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * k["capacity_tokens"]), 4).alias("fill"))
         out = each if out is None else out.unionByName(each)
