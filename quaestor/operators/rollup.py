@@ -92,13 +92,14 @@ def aggregate_evaluation(long: DataFrame, by: str = "weighted_average", dimensio
     return aspects.groupBy(key).agg(strategy(by)(F.col("score"), _weight("aspect", weights)).alias("score"))
 
 
-def critical_cap(dims: DataFrame, overall: DataFrame, threshold: float = 0.4, key: str = "question_id") -> DataFrame:
-    """Extension: the overall score is capped by the lowest critical dimension that lies below ``threshold``."""
-    low = dims.where(F.col("dimension").isin(*CRITICAL) & (F.col("score") < threshold)).groupBy(key).agg(F.min("score").alias("cap"))
-    return overall.join(low, key, "left").select(key, F.least("score", F.coalesce("cap", "score")).alias("score"), F.col("cap").isNotNull().alias("capped"))
+def critical_cap(dims: DataFrame, aspects: DataFrame, threshold: float = 0.2, key: str = "question_id") -> DataFrame:
+    """Extension: an aspect that holds a critical dimension below ``threshold`` scores ``threshold`` at most."""
+    low = dims.where(F.col("dimension").isin(*CRITICAL) & (F.col("score") < threshold)).select(key, "aspect").distinct().withColumn("capped", F.lit(True))
+    hit = F.coalesce("capped", F.lit(False))
+    return aspects.join(low, [key, "aspect"], "left").select(key, "aspect", F.when(hit, F.least("score", F.lit(threshold))).otherwise(F.col("score")).alias("score"), hit.alias("capped"))
 
 
-def review_flag(overall: DataFrame, threshold: float = 0.5) -> DataFrame:
+def review_flag(overall: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Extension: marks overall scores below ``threshold`` for review."""
     return overall.withColumn("review", F.col("score") < threshold)
 

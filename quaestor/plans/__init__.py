@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("shredding", "metrics", "annotated", "similarity", "rollup", "dataset", "generic")
+_MODULES = ("shredding", "metrics", "annotated", "similarity", "rollup", "dataset", "files", "generic", "running")
 
 
 def _load():

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quaestor.operators import dataset as D
 from quaestor.plans.core import query
 from quaestor.runtime import table
-from quaestor.sources import jsonl
 
 _LIG = "replace(replace(replace(replace(replace(regexp_replace(text, '\\(cid:\\d+\\)', '', 'g'), 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl')"
 
@@ -95,52 +94,3 @@ def enrich_course(spark, sf):
 def join_meta(spark, sf):
     meta = table(spark, sf, "course_meta").groupBy("course_id").agg(F.min("title").alias("title"))
     return table(spark, sf, "questions_raw").join(meta, "course_id", "left").select("q_id", "title")
-
-
-@query("SELECT question.id AS question_id, question.metadata.course_id AS course_id, context.metadata.topic AS topic FROM records WHERE question.metadata.source_type IN ('exam') AND question.metadata.course_id IS NOT NULL")
-def scan_dataset(spark, sf):
-    """The strict reader over the records as JSON lines: header dropped, filtered by kind."""
-    r = table(spark, sf, "records")
-    lines = r.select(F.to_json(F.struct("question", "context")).alias("value")).unionByName(spark.createDataFrame([('{"_type": "dataset_header", "total_records": 1}',)], "value string"))
-    x = jsonl.dataset(jsonl.parse(lines, r.schema, strict=True, header_column="_type"), source_types=["exam"])
-    return x.where("question.metadata.course_id is not null").select(F.col("question.id").alias("question_id"), F.col("question.metadata.course_id").alias("course_id"), F.col("context.metadata.topic").alias("topic"))
-
-
-@query("SELECT q_id, course_id FROM questions_raw")
-def scan_jsonl_tolerant(spark, sf):
-    """Lines with blank and malformed ones among them: these are skipped, all others come back."""
-    q = table(spark, sf, "questions_raw").select("q_id", "course_id", "text")
-    bad = spark.createDataFrame([("",), ("   ",), ('{"q_id": "broken',), ("not json",)], "value string")
-    return jsonl.parse(q.select(F.to_json(F.struct("*")).alias("value")).unionByName(bad), q.schema).select("q_id", "course_id")
-
-
-@query("SELECT question_id, count(*) AS metrics FROM (SELECT question_id, unnest(map_entries(d.value)) AS m FROM (SELECT question_id, unnest(map_entries(e.value)) AS d FROM (SELECT question_id, unnest(map_entries(scores)) AS e FROM results))) GROUP BY 1")
-def scan_results(spark, sf):
-    """Saved rows read back from JSON, bare-number scores coerced to the present form."""
-    r = table(spark, sf, "results")
-    old = F.to_json(F.transform_values("scores", lambda a, ds: F.transform_values(ds, lambda d, ms: F.transform_values(ms, lambda m, s: s["score"]))))
-    lines = r.select("question_id", F.when(F.pmod(F.xxhash64("question_id"), F.lit(2)) == 0, old).otherwise(F.to_json("scores")).alias("scores"))
-    return jsonl.coerce_scores(lines).groupBy("question_id").agg(F.count("*").alias("metrics"))
-
-
-@query("SELECT q_id, course_id, source_file FROM questions_raw")
-def sink_jsonl(spark, sf):
-    """Rows to JSON lines and back."""
-    q = table(spark, sf, "questions_raw")
-    return jsonl.parse(jsonl.lines(q), q.schema, strict=True).select("q_id", "course_id", "source_file")
-
-
-@query()
-def sink_report_json(spark, sf):
-    from quaestor.plans.rollup import long
-    from quaestor.sources.report import json_evaluations
-
-    return json_evaluations(long(spark, sf))
-
-
-@query()
-def sink_report_md(spark, sf):
-    from quaestor.plans.rollup import long
-    from quaestor.sources.report import markdown_sections
-
-    return markdown_sections(long(spark, sf))

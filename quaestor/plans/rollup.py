@@ -47,9 +47,11 @@ def flagged_default(spark, sf):
     return long(spark, sf).agg(F.count("*").alias("n"), F.count_if(F.col("flagged")).alias("flagged"))
 
 
-@query()
+@query(LONG + f"SELECT question_id, aspect, dimension, metric, {s6('max(score)')} AS score FROM long WHERE score IS NOT NULL GROUP BY ALL")
 def flat_scores(spark, sf):
-    return R.nest_scores(long(spark, sf))
+    """The nested form {aspect: {dimension: {metric: score}}} of every question, unfolded again for the comparison."""
+    x = R.nest_scores(long(spark, sf)).select("question_id", F.explode("scores").alias("aspect", "d")).select("question_id", "aspect", F.explode("d").alias("dimension", "m"))
+    return x.select("question_id", "aspect", "dimension", F.explode("m").alias("metric", "score")).withColumn("score", r6("score"))
 
 
 @query(LONG + "SELECT question_id, aspect, dimension, metric FROM long WHERE flagged")
@@ -97,13 +99,13 @@ def aggregate_evaluation(spark, sf):
     return R.aggregate_evaluation(long(spark, sf)).withColumn("score", r6("score"))
 
 
-@query(_OVER + f", cap AS (SELECT question_id, min(score) AS cap FROM dims WHERE dimension IN ('privacy_risk', 'harmful_content_risk') AND score < 0.4 GROUP BY 1) SELECT question_id, {s6('least(score, coalesce(cap, score))')} AS score, cap IS NOT NULL AS capped FROM o LEFT JOIN cap USING (question_id)")
+@query(_OVER + f", cap AS (SELECT DISTINCT question_id, aspect FROM dims WHERE dimension IN ('privacy_risk', 'harmful_content_risk') AND score < 0.2) SELECT asp.question_id, asp.aspect, {s6('CASE WHEN cap.aspect IS NULL THEN score ELSE least(score, 0.2) END')} AS score, cap.aspect IS NOT NULL AS capped FROM asp LEFT JOIN cap ON asp.question_id = cap.question_id AND asp.aspect = cap.aspect")
 def critical_cap(spark, sf):
     x = long(spark, sf)
-    return R.critical_cap(R.aggregate_dimension(x), R.aggregate_evaluation(x)).withColumn("score", r6("score"))
+    return R.critical_cap(R.aggregate_dimension(x), R.aggregate_aspect(x)).withColumn("score", r6("score"))
 
 
-@query(_OVER + f" SELECT question_id, {s6('score')} AS score, score < 0.5 AS review FROM o")
+@query(_OVER + f" SELECT question_id, {s6('score')} AS score, score < 0.4 AS review FROM o")
 def review_flag(spark, sf):
     return R.review_flag(R.aggregate_evaluation(long(spark, sf))).withColumn("score", r6("score"))
 
@@ -126,17 +128,18 @@ def metric_stats(spark, sf):
     return _rounded(A.summary(long(spark, sf), ["dimension", "metric"]), "mean", "std", "min", "max").withColumn("range", r6(F.col("max") - F.col("min")))
 
 
-for _dir, _asc in (("topk", False), ("bottomk", True)):
+for _dir, _asc, _k in (("topk", False, 20), ("bottomk", True, 10)):
 
-    @query(LONG + f"SELECT metric, {s6('stddev_samp(score)')} AS std FROM long GROUP BY metric ORDER BY stddev_samp(score) {'ASC' if _asc else 'DESC'}, metric LIMIT 5", _dir)
-    def _top(spark, sf, asc=_asc):
-        return _rounded(A.top(A.summary(long(spark, sf), ["metric"]).select("metric", "std"), "std", 5, asc), "std")
+    @query(LONG + f"SELECT metric, {s6('stddev_samp(score)')} AS std FROM long GROUP BY metric ORDER BY stddev_samp(score) {'ASC' if _asc else 'DESC'} NULLS LAST, metric LIMIT {_k}", _dir)
+    def _top(spark, sf, asc=_asc, k=_k):
+        return _rounded(A.top(A.summary(long(spark, sf), ["metric"]).select("metric", "std"), "std", k, asc), "std")
 
 
-@query("SELECT c.course_id, m.field, m.level, r.source_type, count(*) AS n FROM results r JOIN (SELECT course_id, min(field) AS field, min(level) AS level FROM course_meta GROUP BY 1) m USING (course_id) JOIN (SELECT DISTINCT course_id FROM results) c USING (course_id) GROUP BY ALL")
+@query("SELECT r.course_id, m.field, m.level, r.source_type, count(*) AS n FROM results r LEFT JOIN (SELECT course_id, min(field) AS field, min(level) AS level FROM course_meta GROUP BY 1) m USING (course_id) GROUP BY ALL")
 def group_size(spark, sf):
+    """All results; courses without metadata have no field and level."""
     meta = table(spark, sf, "course_meta").groupBy("course_id").agg(F.min("field").alias("field"), F.min("level").alias("level"))
-    return table(spark, sf, "results").join(meta, "course_id").groupBy("course_id", "field", "level", "source_type").agg(F.count("*").alias("n"))
+    return table(spark, sf, "results").join(meta, "course_id", "left").groupBy("course_id", "field", "level", "source_type").agg(F.count("*").alias("n"))
 
 
 _PV = LONG + f"SELECT aspect, dimension, {s6("avg(score) FILTER (WHERE source_type = 'assignment')")} AS assignment, {s6("avg(score) FILTER (WHERE source_type = 'exam')")} AS exam FROM long GROUP BY 1, 2"
@@ -158,10 +161,18 @@ def pivot_count(spark, sf):
     return A.pivot_count(table(spark, sf, "results"), ["course_id"], "source_type", ["assignment", "exam"])
 
 
-@query(LONG + f"SELECT course_id, {s6('avg(m)')} AS overall FROM (SELECT course_id, dimension, avg(score) AS m FROM long GROUP BY 1, 2) GROUP BY 1")
+_WIDE = sorted(d for ds in TAXONOMY.values() for d in ds)
+
+
+@query(
+    LONG + "SELECT course_id, " + ", ".join(f"{s6(f"max(m) FILTER (WHERE dimension = '{d}')")} AS {d}" for d in _WIDE) + f", {s6('avg(m)')} AS overall "
+    "FROM (SELECT course_id, dimension, avg(score) AS m FROM long GROUP BY 1, 2) GROUP BY 1 ORDER BY overall DESC, course_id"
+)
 def leaderboard(spark, sf):
-    x = A.mean_of_means(long(spark, sf), ["course_id", "dimension"], ["course_id"])
-    return x.select("course_id", r6("mean").alias("overall")).orderBy(F.desc("overall"), "course_id")
+    """Means of every dimension by course and the mean over the dimensions there are, best course first."""
+    m = long(spark, sf).groupBy("course_id", "dimension").agg(F.avg("score").alias("m"))
+    wide = m.groupBy("course_id").agg(*[r6(F.max(F.when(F.col("dimension") == d, F.col("m")))).alias(d) for d in _WIDE], r6(F.avg("m")).alias("overall"))
+    return wide.orderBy(F.desc("overall"), "course_id")
 
 
 @query(LONG + f"SELECT aspect, {s6('avg(m)')} AS mean FROM (SELECT aspect, dimension, avg(score) AS m FROM long GROUP BY 1, 2) GROUP BY 1")
@@ -183,9 +194,9 @@ def spearman_matrix(spark, sf):
     return _rounded(A.pairwise(long(spark, sf), ["question_id"], "dimension", "score", ranked=True), "r")
 
 
-@query(LONG + _RANKED + " SELECT a, b FROM r GROUP BY 1, 2 HAVING abs(corr(rx, ry)) > 0.05")
+@query(LONG + _RANKED + " SELECT a, b FROM r GROUP BY 1, 2 HAVING abs(corr(rx, ry)) > 0.55")
 def corr_highlight(spark, sf):
-    return A.pairwise(long(spark, sf), ["question_id"], "dimension", "score", ranked=True).where(F.abs("r") > 0.05).select("a", "b")
+    return A.pairwise(long(spark, sf), ["question_id"], "dimension", "score", ranked=True).where(F.abs("r") > 0.55).select("a", "b")
 
 
 @query(JUDGES + f", p AS (SELECT a.judge AS a, b.judge AS b, a.score AS x, b.score AS y FROM judges a JOIN judges b ON a.question_id = b.question_id AND a.dimension = b.dimension AND a.judge < b.judge WHERE a.score IS NOT NULL AND b.score IS NOT NULL) SELECT a, b, {s6('corr(x, y)')} AS r, count(*) AS n FROM p GROUP BY 1, 2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.operators import align, batch
 from quaestor.operators import similarity as S
+from quaestor.operators.annotate import NORMALISE
 from quaestor.plans.core import query, r6, s6
 from quaestor.runtime import table
 
@@ -110,10 +111,13 @@ def vocabulary_novelty(spark, sf):
     return pairs(spark, sf).select("question_id", r6(S.vocabulary_novelty(F.col("text"), F.col("content"))).alias("score"))
 
 
-@query(PAIRS + r"SELECT question_id, len(objs) AS objectives, CAST(length(coalesce(content, '')) > 0 AS INT) AS contents FROM r")
+@query(PAIRS + r"SELECT question_id, 'learning_objectives' AS source, i::INT AS position, objs[i] AS reference FROM r, unnest(range(1, len(objs) + 1)) AS u(i) UNION ALL SELECT question_id, 'course_content', 1, content FROM r WHERE length(coalesce(content, '')) > 0")
 def reference_collect(spark, sf):
+    """The reference texts of every record from either source, in their order."""
     x = pairs(spark, sf)
-    return x.select("question_id", F.size(S.references(F.col("objectives"))).cast("long").alias("objectives"), F.size(S.content_reference(F.col("content"))).alias("contents"))
+    one = lambda name, refs: x.select("question_id", F.lit(name).alias("source"), F.posexplode(refs).alias("position", "reference"))
+    both = one("learning_objectives", S.references(F.col("objectives"))).unionByName(one("course_content", S.content_reference(F.col("content"))))
+    return both.withColumn("position", (F.col("position") + 1).cast("int"))
 
 
 _ALIGN = r"""
@@ -140,19 +144,22 @@ def bm25_align(spark, sf):
 
 @query(
     "WITH x AS (SELECT vec_id, label, embedding FROM embeddings), c AS (SELECT label, list(m ORDER BY i) AS centre FROM (SELECT label, i, avg(embedding[i]) AS m FROM x, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY 1, 2) GROUP BY 1) "
-    f"SELECT vec_id, {s6('list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre)')} AS score FROM x JOIN c USING (label)"
+    f"SELECT vec_id, {s6('greatest(0.0, least(1.0, max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre))))')} AS score, greatest(0.0, least(1.0, max(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre)))) < 0.5 AS flagged FROM x, c GROUP BY vec_id"
 )
 def sbert(spark, sf):
-    """Cosine of every vector with the centre of its label: the vector side of the embedding metric."""
+    """The highest cosine of every vector with its references, within 0 and 1: here the centres of all labels, a fixed few."""
     x = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     mean = x.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
-    return x.join(centre, "label").select("vec_id", r6(S.cosine(F.col("embedding"), F.col("centre"))).alias("score"))
+    refs = centre.agg(F.collect_list("centre").alias("refs"))  # one row
+    best = x.crossJoin(F.broadcast(refs)).select("vec_id", F.array_max(F.transform("refs", lambda r: S.cosine(F.col("embedding"), r))).alias("s"))
+    score = NORMALISE["sbert"](F.col("s"))
+    return best.select("vec_id", r6(score).alias("score"), (score < 0.5).alias("flagged"))
 
 
 @query(r"""SELECT q_id, source_file, count(*) OVER (PARTITION BY course_id, source_file) AS batch FROM (SELECT DISTINCT coalesce(course_id, '') AS course_id, source_file, q_id, text FROM questions_raw) WHERE source_file IS NOT NULL""")
 def question_batch(spark, sf):
-    """Size of the batch (course and source file) of every question; the texts themselves are gathered only at the sink."""
+    """Size of the batch (course and source file) of every question; `question_batch_rows` has its texts."""
     x = table(spark, sf, "questions_raw").select(F.coalesce("course_id", F.lit("")).alias("course_id"), "source_file", "q_id", "text").distinct().where("source_file is not null")
     n = x.groupBy("course_id", "source_file").agg(F.count("*").alias("batch"))
     return x.join(n, ["course_id", "source_file"]).select("q_id", "source_file", "batch")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,7 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     in local mode only (tests), and removed at exit; on a cluster a missing setting is an error, as a folder of one
     machine would be lost with it. Unlike a local checkpoint the files outlive any executor.
     """
-    spark = df.sparkSession
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,7 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="quaestor-checkpoint-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for files of our own, in the folder that all executors share."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:
