@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,29 +36,24 @@ def sections(c: Column) -> Column:
     return F.filter(F.transform(F.split(txt(c), HEADING), lambda x: strip(x)), lambda x: x != "")
 
 
-def pack_paragraphs(text: str, most: int, overlap: int) -> list[str]:
-    """Paragraphs packed up to ``most`` words; a new chunk starts with the last ``overlap`` words of the one before. A
-    paragraph that is too long by itself stays whole."""
-    out: list[str] = []
-    words: list[str] = []
-    for para in (p.split() for p in text.split("\n\n")):
-        if not para:
-            continue
-        if words and len(words) + len(para) > most:
-            out.append(" ".join(words))
-            words = words[-overlap:] if overlap else []
-        words = words + para
-    return [*out, " ".join(words)] if words else out
+def packed(text: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> Column:
+    """An array of chunks: paragraphs gathered up to ``most`` words, each chunk after the first led in by the last ``overlap``
+    words of the one before. A text that fits comes back as it is, a paragraph that is too long by itself stays whole; null
+    gives null, a blank text itself."""
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), ws_tokens), lambda p: F.size(p) > 0)
+    none = F.array().cast("array<string>")
+    tail = lambda words: F.slice(words, F.greatest(F.lit(1), F.size(words) - overlap + 1), F.lit(overlap)) if overlap else none
 
+    def gather(state: Column, para: Column) -> Column:
+        full = (F.size(state["words"]) > 0) & (F.size(state["words"]) + F.size(para) > most)
+        done = F.when(full, F.concat(state["done"], F.array(F.array_join(state["words"], " ")))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.concat(F.when(full, tail(state["words"])).otherwise(state["words"]), para).alias("words"))
 
-def split_long(most: int = MAX_TOKENS, overlap: int = OVERLAP):
-    """An Arrow UDF text -> array of chunks; short texts come back as they are."""
+    def close(state: Column) -> Column:
+        return F.when(F.size(state["words"]) > 0, F.concat(state["done"], F.array(F.array_join(state["words"], " ")))).otherwise(state["done"])
 
-    @F.pandas_udf("array<string>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: [t] if t is None or len(t.split()) <= most else pack_paragraphs(t, most, overlap))
-
-    return run
+    chunks = F.aggregate(paragraphs, F.struct(none.alias("done"), none.alias("words")), gather, close)
+    return F.when(F.size(ws_tokens(text)) <= most, F.array(text)).otherwise(chunks)
 
 
 def chunk(docs: DataFrame, file: str, course: str, text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:
@@ -67,7 +61,7 @@ def chunk(docs: DataFrame, file: str, course: str, text: str, most: int = MAX_TO
 
     Null and blank texts give none; chunks of fewer than ``least`` tokens are left out."""
     s = docs.select(F.col(course).alias("course_id"), F.col(file).alias("source_file"), F.posexplode(sections(clean_text(F.col(text)))).alias("sec", "section"))
-    c = s.select("course_id", "source_file", "sec", F.posexplode(split_long(most, overlap)("section")).alias("part", "text"))
+    c = s.select("course_id", "source_file", "sec", F.posexplode(packed(F.col("section"), most, overlap)).alias("part", "text"))
     c = c.withColumn("token_count", approx_tokens(F.col("text"))).where(F.col("token_count") >= least)
     topic = F.substring(F.get(F.split("text", "\n"), F.lit(0)), 1, 80)
     return c.select("course_id", "source_file", (F.col("sec") * 100000 + F.col("part")).alias("pos"), topic.alias("topic"), "text", "token_count")

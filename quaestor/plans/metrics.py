@@ -140,7 +140,11 @@ def aggregate_dimension(spark: SparkSession, sf: str) -> DataFrame:
     return long.groupBy("question_id", "dimension").agg(r6(F.avg("score")).alias("score"))
 
 
-@query()
+@query(
+    " UNION ALL ".join(f"SELECT question_id, '{M.REGISTRY[k].aspect}' AS aspect, '{M.REGISTRY[k].dimension}' AS dimension, '{k}' AS metric, score, flagged FROM ({_sql(k)})" for k in M.REGISTRY if k in SCORES)
+    if set(M.REGISTRY) <= set(SCORES)
+    else None
+)
 def evaluate_all(spark: SparkSession, sf: str) -> DataFrame:
     """All registered metrics of every question in one projection, as long rows with flags."""
     return M.evaluate(table(spark, sf, "questions_raw").select("q_id", "text"), "q_id").select("question_id", "aspect", "dimension", "metric", r6("score").alias("score"), "flagged")

@@ -14,10 +14,12 @@ def test_clean_and_sections(spark):
     assert r[0]["c"] == "ab c find\nHeading One\nbody" and len(r[0]["s"]) == 2 and r[1]["c"] is None and r[1]["s"] == []
 
 
-def test_pack_paragraphs():
-    out = D.pack_paragraphs("a b c\n\nd e\n\n\n\nf g h i j k", 5, 1)
-    assert out == ["a b c d e", "e f g h i j k"]
-    assert D.pack_paragraphs("", 5, 1) == []
+def test_paragraphs_are_packed(spark):
+    rows = [("a b c\n\nd e\n\n\n\nf g h i j k",), ("a  b\n\nc",), ("",), (None,), ("a b c d e f g",), ("w x y z u\n\n" * 300,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(D.packed(F.col("t"), 5, 1)).collect()]
+    assert got[:5] == [["a b c d e", "e f g h i j k"], ["a  b\n\nc"], [""], None, ["a b c d e f g"]]
+    assert len(got[5]) == 300 and got[5][1] == "u w x y z u"
+    assert spark.createDataFrame([("a b\n\nc",)], "t string").select(D.packed(F.col("t"), 2, 0)).first()[0] == ["a b", "c"]
 
 
 def test_ids_are_unique_over_files(spark):
