@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaestor.runtime import cut
+
 
 def summary(df: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
     """mean, std (ddof 1), min, max, count of non-null values by ``keys``."""
@@ -15,12 +18,50 @@ def summary(df: DataFrame, keys: list[str], value: str = "score") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"))
 
 
+def ordered(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, value, _k, _b, _n): every different value of a group with its count, how many rows of the group lie below it,
+    and how many the group has; null values take no part.
+
+    Equal values are counted first. The values are then range-partitioned over all tasks, so that not even a group that holds
+    most rows is sorted in one; each partition counts within itself and gets the rows of the partitions before it added."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_k"))
+    # written, as the number of a partition must not change
+    placed = cut(counts.repartitionByRange(*group, value).withColumn("_p", F.spark_partition_id()))
+    parts = placed.groupBy(*group, "_p").agg(F.sum("_k").alias("_t"))
+    over = Window.partitionBy(*group)
+    parts = parts.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_p").alias("_q"),
+        F.coalesce(F.sum("_t").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_t").over(over).alias("_n"),
+    )
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_p") == F.col("_q")])
+    inside = F.sum("_k").over(Window.partitionBy(*group, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return placed.join(parts, same).select(*group, value, "_k", (F.col("_o") + F.coalesce(inside, F.lit(0))).alias("_b"), "_n")
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(group, one column per entry of ``at``): exact percentiles with linear interpolation; groups without values have no row."""
+    x = ordered(df, group, value)
+    picks = []
+    for name, p in at.items():
+        pos = (F.col("_n") - 1) * p
+        covers = lambda i: (F.col("_b") <= i) & (i < F.col("_b") + F.col("_k"))
+        low, high = F.max(F.when(covers(F.floor(pos)), F.col(value))), F.max(F.when(covers(F.ceil(pos)), F.col(value)))
+        picks.append((low + (F.max(pos) - F.floor(F.max(pos))) * (high - low)).alias(name))
+    return x.groupBy(*group).agg(*picks)
+
+
+def with_percentiles(base: DataFrame, df: DataFrame, group: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``base``, one row per group, with the percentiles of ``df`` beside it."""
+    q = percentiles(df, group, value, at).select(*[F.col(g).alias(f"_j{i}") for i, g in enumerate(group)], *at)
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_j{i}")) for i, g in enumerate(group)])
+    return base.join(q, same, "left").drop(*[f"_j{i}" for i in range(len(group))])
+
+
 def describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, std, min, quartiles, max."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    x = df.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q.alias("q"), F.max(v).alias("max"))
-    return x.select(*keys, "count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    x = df.groupBy(*keys).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    return with_percentiles(x, df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(*keys, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def pivot_mean(df: DataFrame, keys: list[str], column: str, values: list[str], value: str = "score") -> DataFrame:
@@ -50,12 +91,8 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 
 
 def average_ranks(df: DataFrame, group: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks within ``group``, ties sharing their mean rank. Ranks need the values of a group in order; equal values are
-    counted first, so that a group's window holds its distinct values only and a heavy tie is one row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_k"))
-    w = Window.partitionBy(*group).orderBy(value)
-    before = F.sum("_k").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn(out, F.coalesce(before, F.lit(0)) + (F.col("_k") + 1) / 2.0).drop("_k")
+    """Ranks within ``group``, ties sharing their mean rank (see ``ordered``); null values and groups have none."""
+    ranked = ordered(df, group, value).select(*group, value, (F.col("_b") + (F.col("_k") + 1) / 2.0).alias(out))
     return df.join(ranked, [*group, value], "left")
 
 
@@ -88,7 +125,7 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, first: str, second:
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie") / F.greatest(F.lit(1.0), (n * (n - 1)).cast("double"))))
     s = s.withColumns({"u": u, "z": F.when(sd == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (F.abs(u - mu) - 0.5)) / F.nullif(sd, F.lit(0.0)))})
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("double")  # one value a key: the error function has no built-in form
     def two_sided(z: pd.Series) -> pd.Series:
         return z.map(lambda v: math.erfc(v / math.sqrt(2.0)))
 

@@ -53,7 +53,7 @@ def packed(text: Column, most: int = MAX_TOKENS, overlap: int = OVERLAP) -> Colu
         return F.when(F.size(state["words"]) > 0, F.concat(state["done"], F.array(F.array_join(state["words"], " ")))).otherwise(state["done"])
 
     chunks = F.aggregate(paragraphs, F.struct(none.alias("done"), none.alias("words")), gather, close)
-    return F.when(F.size(ws_tokens(text)) <= most, F.array(text)).otherwise(chunks)
+    return F.when(text.isNull(), None).when(F.size(ws_tokens(text)) <= most, F.array(text)).otherwise(chunks)
 
 
 def chunk(docs: DataFrame, file: str, course: str, text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP, least: int = MIN_TOKENS) -> DataFrame:

@@ -277,11 +277,12 @@ def top_disagreed(spark, sf):
 
 @query(JUDGES + f"SELECT judge, count(score) AS n, count(DISTINCT CASE WHEN score IS NOT NULL THEN dimension END) AS dims, {s6('avg(score)')} AS mean, {s6('stddev_pop(score)')} AS std, {s6('min(score)')} AS min, {s6('quantile_cont(score, 0.5)')} AS median, {s6('max(score)')} AS max, {s6('avg(CASE WHEN score < 0.5 THEN 1 ELSE 0 END)')} AS flag_rate FROM judges GROUP BY 1")
 def source_summary(spark, sf):
-    s = F.col("score")
-    return judges(spark, sf).groupBy("judge").agg(
+    s, j = F.col("score"), judges(spark, sf)
+    x = j.groupBy("judge").agg(
         F.count(s).alias("n"), F.count_distinct(F.when(s.isNotNull(), F.col("dimension"))).alias("dims"), r6(F.avg(s)).alias("mean"), r6(F.stddev_pop(s)).alias("std"), r6(F.min(s)).alias("min"),
-        r6(F.percentile(s, 0.5)).alias("median"), r6(F.max(s)).alias("max"), r6(F.avg(F.when(s < 0.5, 1).otherwise(0))).alias("flag_rate"),
+        r6(F.max(s)).alias("max"), r6(F.avg(F.when(s < 0.5, 1).otherwise(0))).alias("flag_rate"),
     )
+    return A.with_percentiles(x, j, ["judge"], "score", {"median": 0.5}).withColumn("median", r6("median"))
 
 
 @query(LONG + f"SELECT aspect, count(score) AS count, {s6('avg(score)')} AS mean, {s6('stddev_samp(score)')} AS std, {s6('min(score)')} AS min, {s6('quantile_cont(score, 0.25)')} AS p25, {s6('quantile_cont(score, 0.5)')} AS p50, {s6('quantile_cont(score, 0.75)')} AS p75, {s6('max(score)')} AS max FROM long GROUP BY 1")

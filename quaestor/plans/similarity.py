@@ -98,7 +98,19 @@ def _metric(name: str, refs: str):
 
 _OBJS = r"list_filter(coalesce(objectives, []), lambda x: regexp_replace(coalesce(x, ''), '[\s\p{Z}]+', '', 'g') <> '') AS objs"
 _CONTENT = "CASE WHEN length(coalesce(content, '')) > 0 THEN [content] ELSE [] END AS objs"
-_SQL = {("bm25", "objectives"): _BM25, ("tfidf", "objectives"): _TFIDF, ("chrf", "objectives"): _CHRF}
+_BLEU = (
+    PAIRS
+    + r""", dd AS (SELECT rid, 0 AS ref, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+(?:[-''’.][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]') AS w FROM r
+  UNION ALL SELECT rid, i, regexp_extract_all(lower(objs[i]), '[\p{L}\p{N}_]+(?:[-''’.][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s]') FROM r, unnest(range(1, len(objs) + 1)) AS u(i)),
+g AS (SELECT rid, ref, k, array_to_string(w[i:i + k - 1], chr(1)) AS g, count(*) AS c FROM dd, unnest(range(1, 5)) AS o(k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY ALL),
+b AS (SELECT rid, k, g, max(c) AS c FROM g WHERE ref > 0 GROUP BY ALL),
+m AS (SELECT g.rid, g.k, sum(least(g.c, b.c)) AS m FROM g JOIN b ON g.rid = b.rid AND g.k = b.k AND g.g = b.g WHERE g.ref = 0 GROUP BY 1, 2),
+h AS (SELECT rid, len(w) AS n FROM dd WHERE ref = 0), near AS (SELECT dd.rid, arg_min(len(w), abs(len(w) - n) * 1000000 + len(w)) AS near FROM dd JOIN h ON h.rid = dd.rid WHERE ref > 0 GROUP BY 1),
+lg AS (SELECT h.rid, h.n, sum(0.25 * ln(coalesce(nullif(m.m, 0), 0.1) / greatest(1, h.n - k + 1))) AS lg, max(CASE WHEN k = 1 THEN coalesce(m.m, 0) END) AS one FROM h CROSS JOIN unnest(range(1, 5)) AS o(k) LEFT JOIN m USING (rid, k) GROUP BY 1, 2),
+v AS (SELECT rid, CASE WHEN n = 0 OR one = 0 THEN 0.0 ELSE (CASE WHEN n > near THEN 1.0 ELSE exp(1 - near * 1.0 / n) END) * exp(lg) END AS v FROM lg JOIN near USING (rid))"""
+    + _final("SELECT * FROM v", _NOREF)
+)
+_SQL = {("bleu", "objectives"): _BLEU, ("bm25", "objectives"): _BM25, ("tfidf", "objectives"): _TFIDF, ("chrf", "objectives"): _CHRF}
 _SQL |= {(n, "content"): sql.replace(_OBJS, _CONTENT) for (n, _), sql in list(_SQL.items())}
 for _n in ("bleu", "rouge_l", "meteor", "chrf", "tfidf", "bm25"):
     for _r in ("objectives", "content"):

@@ -69,3 +69,17 @@ def test_histogram_last_bin_closed(spark):
 def test_partition_independence(long):
     a = one(R.aggregate_evaluation(long))
     assert a == one(R.aggregate_evaluation(long.repartition(7, "metric").orderBy(F.desc("score"))))
+
+
+def test_percentiles_are_exact_over_partitions(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [("a", float(v)) for v in rng.normal(size=997)] + [("b", 1.0)] * 500 + [("b", 2.0)] + [(None, float(v)) for v in range(4)] + [("c", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    got = {r["g"]: r for r in A.describe(df, ["g"], "v").collect()}
+    for g in ("a", "b", None):
+        want = np.quantile([v for k, v in rows if k == g and v is not None], [0.25, 0.5, 0.75])
+        assert np.allclose([got[g]["p25"], got[g]["p50"], got[g]["p75"]], want)
+    assert got["c"]["count"] == 0 and got["c"]["p50"] is None
+    assert A.describe(df.limit(0), ["g"], "v").count() == 0
