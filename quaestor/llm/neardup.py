@@ -145,16 +145,16 @@ def duplicate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.75)
 
 
 def duplicate_groups(df: DataFrame, key: str, text: str, threshold: float = 0.75) -> DataFrame:
-    """One row per key and text: (key, class_id, n_copies, n_links). ``class_id`` names the exact word set, ``n_links``
-    counts the other word sets that are similar to it; nothing is expanded into pairs of copies."""
+    """One row per key and text: (key, class_id, n_copies, n_links). ``class_id`` is the lowest key with the same word set,
+    ``n_links`` counts the other word sets that are similar to it; nothing is expanded into pairs of copies."""
     # the sets are computed again for the classes: that costs less than keeping all word arrays on disk
     sets = word_sets(df, key, text)
     members = cut(sets.select("key", "set_id").distinct())
     links = similar_classes(classes(sets), threshold)
     ends = links.select(F.col("id_a").alias("set_id")).unionByName(links.select(F.col("id_b").alias("set_id")))
     n_links = ends.groupBy("set_id").agg(F.count("*").alias("n_links"))
-    copies = members.groupBy("set_id").agg(F.count("*").alias("n_copies"))
+    copies = members.groupBy("set_id").agg(F.count("*").alias("n_copies"), F.min("key").alias("class_id"))
     return (
         members.select("key", "set_id").join(copies, "set_id").join(n_links, "set_id", "left")
-        .select("key", F.col("set_id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("key", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )

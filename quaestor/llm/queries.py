@@ -27,6 +27,13 @@ def p1_statistics(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p1_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The statistics of every text, blank ones left out."""
+    keys, texts = keys_and_texts(item_rows(spark, sf))
+    stats = quality.with_stats(texts).select("text_id", *[F.round(c, 6).alias(c) for c in quality.FEATURES])
+    return keys.join(stats, "text_id").drop("text_id")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neardup.duplicate_pairs(table(spark, sf, "questions_raw").select("q_id", "text"), "q_id", "text", threshold=0.75)
     return pairs.select(F.col("key_a").alias("q_id_a"), F.col("key_b").alias("q_id_b"))
@@ -79,9 +86,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """How many texts of each field have each level."""
+    """How many texts of each field have each level; lists, tables and junk have none (null), as in p5_found."""
     keys, texts = _fields(spark, sf)
-    return keys.join(reading.score(texts).select("text_id", "level"), "text_id").groupBy(F.col("tbl").alias("field"), "level").agg(F.count("*").alias("texts"))
+    prose = cut(quality.score(texts).where(F.col("p_structural") < 0.5).select("text_id", "text"))
+    levels = keys.join(reading.score(prose).select("text_id", "level"), "text_id", "left")
+    return levels.groupBy(F.col("tbl").alias("field"), "level").agg(F.count("*").alias("texts"))
 
 
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,7 +132,7 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [p1_found, p1_statistics, p2_found, p2_classes, p3_found, p3_repaired, p5_found, p5_profile, p6_pack, p6_fill, p7_found, p7_report, p8_found, p8_kept]
+    fns = [p1_found, p1_statistics, p1_documents, p2_found, p2_classes, p3_found, p3_repaired, p5_found, p5_profile, p6_pack, p6_fill, p7_found, p7_report, p8_found, p8_kept]
     return {f.__name__: f for f in fns}
 
 
@@ -140,6 +149,18 @@ WITH item_words AS (
 """
 
 
+_P2 = r"""
+WITH s AS (
+  SELECT DISTINCT q_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM questions_raw WHERE text IS NOT NULL AND q_id IS NOT NULL
+), e AS (SELECT q_id, len(w) AS n, unnest(w) AS x FROM s WHERE len(w) > 0)
+, d AS (SELECT x, count(*) AS df FROM e GROUP BY x)
+, p AS (SELECT q_id, n, x, row_number() OVER (PARTITION BY q_id ORDER BY df, x) AS r FROM e JOIN d USING (x))
+, c AS (
+  SELECT DISTINCT a.q_id AS q_id_a, b.q_id AS q_id_b FROM p a JOIN p b ON a.x = b.x AND a.q_id < b.q_id
+  WHERE a.r <= a.n - ceil(0.75 * a.n) + 1 AND b.r <= b.n - ceil(0.75 * b.n) + 1 AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     texts = r"""
 WITH t AS (
@@ -150,18 +171,16 @@ WITH t AS (
     return {
         "p7_found": _P7 + "SELECT doc_id, item_id FROM hits",
         "p7_report": _P7 + "SELECT item_id, count(*) AS documents FROM hits GROUP BY item_id",
-        "p2_found": r"""
-WITH s AS (
-  SELECT DISTINCT q_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM questions_raw WHERE text IS NOT NULL AND q_id IS NOT NULL
-), e AS (SELECT q_id, len(w) AS n, unnest(w) AS x FROM s WHERE len(w) > 0)
-, d AS (SELECT x, count(*) AS df FROM e GROUP BY x)
-, p AS (SELECT q_id, n, x, row_number() OVER (PARTITION BY q_id ORDER BY df, x) AS r FROM e JOIN d USING (x))
-, c AS (
-  SELECT DISTINCT a.q_id AS q_id_a, b.q_id AS q_id_b FROM p a JOIN p b ON a.x = b.x AND a.q_id < b.q_id
-  WHERE a.r <= a.n - ceil(0.75 * a.n) + 1 AND b.r <= b.n - ceil(0.75 * b.n) + 1 AND least(a.n, b.n) >= 0.75 * greatest(a.n, b.n)
-)
+        "p2_found": _P2
+        + r"""
 SELECT q_id_a, q_id_b FROM c JOIN s a ON a.q_id = q_id_a JOIN s b ON b.q_id = q_id_b
 WHERE len(list_intersect(a.w, b.w)) >= 0.75 * len(list_distinct(list_concat(a.w, b.w)))""",
+        "p2_classes": _P2
+        + r""", l AS (
+  SELECT a.w AS wa, b.w AS wb FROM c JOIN s a ON a.q_id = q_id_a JOIN s b ON b.q_id = q_id_b
+  WHERE a.w <> b.w AND len(list_intersect(a.w, b.w)) >= 0.75 * len(list_distinct(list_concat(a.w, b.w)))
+), k AS (SELECT w, count(DISTINCT o) AS n FROM (SELECT wa AS w, wb AS o FROM l UNION ALL SELECT wb, wa FROM l) GROUP BY w)
+SELECT q_id, min(q_id) OVER (PARTITION BY w) AS class_id, count(*) OVER (PARTITION BY w) AS n_copies, coalesce(k.n, 0) AS n_links FROM s LEFT JOIN k USING (w) WHERE len(s.w) > 0""",
         "p1_statistics": texts
         + r""", b AS (
   SELECT tbl, regexp_replace(text, '(\p{L})(?:-|­)\r?\n(\p{Ll})', '\1\2', 'g') AS t FROM u
