@@ -29,8 +29,21 @@ def session(app: str = "quaestor", master: str | None = None, **conf: str) -> Sp
     return b.getOrCreate()
 
 
+# Tables that hold a few rows at any scale; they are read as they come.
+FIXED = {"course_meta", "eval_items", "containers", "region", "nation"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if name in FIXED else spread(df)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows out to all cores where a table comes in fewer pieces than there are cores (one small file cannot be
+    split); tables in more pieces, as on a cluster, stay as they are read and are not shuffled. Filters and column selection
+    still reach the scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def cut(df: DataFrame) -> DataFrame:
