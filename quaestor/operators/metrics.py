@@ -45,6 +45,8 @@ class MetricSpec:
 
 
 REGISTRY: dict[str, MetricSpec] = {}
+# Metrics that stand on word lists and patterns in place of a tagger; their rationale says so.
+BY_RULES = ("conjunction_rate", "pronoun_ratio", "has_verb", "multipart_question", "pii_risk", "k_anonymity_risk", "dp_epsilon_risk")
 
 
 def metric(name: str, dimension: str, flag_below: float, never_flag=None, needs: tuple[str, ...] = ()):
@@ -370,5 +372,8 @@ def evaluate(df: DataFrame, key: str, names: list[str] | None = None, text: str
             flag = (F.col("_strip") == "") | ((F.col(s.name) < s.flag_below) & ~F.col(f"_nf_{s.name}"))
         rows.append(F.struct(F.lit(s.aspect).alias("aspect"), F.lit(s.dimension).alias("dimension"), F.lit(s.name).alias("metric"), F.col(s.name).alias("score"), flag.alias("flagged")))
     long = wide.select("question_id", "_strip", F.explode(F.array(*rows)).alias("m")).select("question_id", "_strip", "m.*")
-    why = F.when(F.col("_strip") == "", "Question text is empty.").otherwise(F.format_string("%s score=%.4f", "metric", "score"))
+    said = F.format_string("%s score=%.4f", "metric", "score")
+    band = F.when(F.col("score") >= 0.6, "good").when(F.col("score") >= 0.3, "moderate").otherwise("poor")
+    said = F.when(F.col("dimension") == "readability", F.concat(said, F.lit(" ("), band, F.lit(")"))).when(F.col("metric").isin(*BY_RULES), F.concat(said, F.lit(" [rules]"))).otherwise(said)
+    why = F.when(F.col("_strip") == "", "Question text is empty.").otherwise(said)
     return long.withColumn("rationale", why).drop("_strip")

@@ -5,37 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestor.functions.text import alpha_words, is_blank, txt, word_runs
+from quaestor.functions.text import alpha_words, is_blank, txt
 from quaestor.operators import annotate as N
 from quaestor.operators import metrics as M
 from quaestor.operators import rules
+from quaestor.operators.evaluation import ANNOTATED
 from quaestor.plans.core import query, r6, s6
 from quaestor.plans.metrics import TOKENS
 from quaestor.runtime import table
 
 
 
-def _t():
-    """Built on call: a column needs a running context, and importing this module must not."""
-    return F.col("tokens")
-
-
-SPECS = {
-    "lexical_density": (lambda: N.lexical_density(_t()), 0.3),
-    "parse_tree_depth": (lambda: N.parse_tree_depth(F.col("heads")), 0.3),
-    "dependency_distance": (lambda: N.dependency_distance(_t()), 0.3),
-    "constituent_count": (lambda: N.constituent_count(_t(), rules.noun_chunks(_t())), 0.3),
-    "passive_voice_rate": (lambda: N.passive_voice_rate(_t()), 0.5),
-    "negation_ambiguity": (lambda: N.negation_ambiguity(_t()), 0.5),
-    "subject_verb_agreement": (lambda: N.subject_verb_agreement(_t()), 0.7),
-    "question_type_consistency": (lambda: N.question_type_consistency(_t(), word_runs(F.col("text"))), 0.6),
-    "multipart_question_annotated": (lambda: N.multipart_question(_t(), txt(F.col("text"))), 0.5),
-}
+SPECS = {**ANNOTATED, "multipart_question_annotated": (lambda: N.multipart_question(F.col("tokens"), txt(F.col("text"))), 0.5)}
 
 
 def annotated(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "questions_raw").select(F.col("q_id").alias("question_id"), "text")
-    return rules.annotate(q).withColumn("heads", N.heads(_t()))
+    return rules.annotate(q).withColumn("heads", N.heads(F.col("tokens")))
 
 
 def _run(name: str):

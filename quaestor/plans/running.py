@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from quaestor.functions.text import az09_words, is_blank, txt
 from quaestor.operators import annotate as N
 from quaestor.operators import metrics as M
-from quaestor.operators import pipeline, rules, runner, wiring
+from quaestor.operators import evaluation, pipeline, rules, runner, wiring
 from quaestor.operators import similarity as S
 from quaestor.plans.core import query, r6, s6
 from quaestor.plans.similarity import PAIRS, pairs
-from quaestor.runtime import scratch, table
+from quaestor.runtime import cut, scratch, table
 
 
 def _courses(spark, sf):
@@ -97,6 +97,26 @@ def aspect_evaluate(spark, sf):
     return wiring.table(spark).groupBy("aspect").agg(F.countDistinct("dimension").alias("dimensions"), F.count("metric").alias("values"))
 
 
+_HAVE_VALUES = [(a, d, i, m, j) for a, d, i, m, j, _ in wiring.rows() if m and m not in {"bertscore", "bleurt", "bartscore", "comet", "sbert", "nli_entailment", "polysemy_score", "lm_perplexity"}]
+
+
+@query(
+    'SELECT v.*, n FROM (VALUES ' + ", ".join(f"('{a}', '{d}', {i}, '{m}', {j})" for a, d, i, m, j in _HAVE_VALUES) + ') AS v(aspect, dimension, dimension_no, metric, metric_no), '
+    "(SELECT count(*) AS n FROM (SELECT DISTINCT question.id, question.text, context.learning_objectives, context.course_content, context.metadata.question_batch FROM records))"
+)
+def evaluate_records(spark, sf):
+    """The whole evaluation of every record: which metrics come out, in what order, and for how many records. Metrics without
+    a back end are absent."""
+    items = pairs(spark, sf).withColumn("question_id", F.struct("question_id", F.xxhash64("text", "objectives", "content", "batch").alias("h")))
+    q = table(spark, sf, "questions_raw").select(F.coalesce("text", F.lit("")).alias("text"))
+    counts = q.select(F.explode(M.alpha_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    counts = cut(counts.join(F.broadcast(counts.agg(F.sum("c").alias("t"))), F.lit(True)))  # the other side is one row
+    easy = counts.where("c * 2000 >= t").select("word")
+    zipf = counts.select("word", F.least(F.lit(8.0), F.greatest(F.lit(0.0), F.log10(F.col("c") * 1e9 / F.col("t")))).alias("zipf"))
+    n = evaluation.evaluate(items, easy, zipf).groupBy("aspect", "dimension", "metric").agg(F.count("score").alias("n"))
+    return n.select("aspect", "dimension", wiring.dimension_place(F.col("dimension")).alias("dimension_no"), "metric", wiring.place(F.col("dimension"), F.col("metric")).alias("metric_no"), "n")
+
+
 # Metrics whose models are not at hand run here on a back end named `overlap`: a stand-in that is computed from words and is no
 # approximation of the model. It exercises normalisation, the maximum over references, flags and absence.
 OVERLAP = "overlap"
