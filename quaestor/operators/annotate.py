@@ -72,16 +72,20 @@ def heads(t: Column) -> Column:
     return F.transform(t, lambda x: x["head"])
 
 
-def depths(head: Column, most: int = 60) -> Column:
-    """Edges to the root per token, by walking all heads at once, at most ``most`` steps."""
+def _doublings(t: Column) -> Column:
+    """As many steps as reach every ancestor when each step looks twice as far: the logarithm of the number of tokens."""
+    return F.sequence(F.lit(1), F.ceil(F.log2(F.size(t) + 2.0)).cast("int"))
+
+
+def depths(head: Column) -> Column:
+    """Edges to the root per token. All tokens look up at once, each step twice as far as the one before."""
     start = F.struct(head.alias("at"), F.transform(head, lambda h, i: F.when(h == i, 0).otherwise(1)).alias("d"))
 
     def step(s: Column, _: Column) -> Column:
-        up = F.transform(s["at"], lambda a: F.get(head, a))
-        d = F.zip_with(s["d"], F.zip_with(s["at"], up, lambda a, b: F.when(a == b, 0).otherwise(1)), lambda x, y: x + y)
-        return F.struct(up.alias("at"), d.alias("d"))
+        d = F.zip_with(s["d"], s["at"], lambda x, a: x + F.get(s["d"], a))
+        return F.struct(F.transform(s["at"], lambda a: F.get(s["at"], a)).alias("at"), d.alias("d"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["d"]
+    return F.aggregate(_doublings(head), start, step)["d"]
 
 
 def parse_tree_depth(head: Column, max_depth: float = 10.0) -> Column:
@@ -104,17 +108,18 @@ def passive_voice_rate(t: Column, most: float = 1.0) -> Column:
 
 def negation_ambiguity(t: Column, most: float = 1.4) -> Column:
     """0.3 per negation, 0.7 where something above the negated token's head is clausal; the head itself is not tested."""
-    def clausal_above(i: Column) -> Column:
-        start = F.struct(F.get(t, i)["head"].alias("at"), F.lit(False).alias("hit"))
+    head = F.transform(t, lambda x: x["head"])
+    above = F.transform(t, lambda x, i: (x["head"] != i) & F.get(t, x["head"])["dep"].isin(*CLAUSAL))
 
-        def step(s: Column, _: Column) -> Column:
-            up = F.get(t, s["at"])["head"]
-            return F.struct(up.alias("at"), (s["hit"] | ((up != s["at"]) & F.get(t, up)["dep"].isin(*CLAUSAL))).alias("hit"))
+    def step(s: Column, _: Column) -> Column:
+        hit = F.zip_with(s["hit"], s["at"], lambda h, a: h | F.get(s["hit"], a))
+        return F.struct(F.transform(s["at"], lambda a: F.get(s["at"], a)).alias("at"), hit.alias("hit"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step)["hit"]
+    hit = F.aggregate(_doublings(t), F.struct(head.alias("at"), above.alias("hit")), step)["hit"]
+    any_neg = F.exists(t, lambda x: x["dep"] == "neg")
+    found = F.transform(F.array(F.when(any_neg, hit)), lambda h: F.aggregate(F.transform(t, lambda x: F.when(x["dep"] == "neg", F.when(F.get(h, x["head"]), 0.7).otherwise(0.3)).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)).getItem(0)
+    return _down(F.when(any_neg, found).otherwise(0.0) / most)
 
-    costs = F.transform(t, lambda x, i: F.when(x["dep"] == "neg", F.when(clausal_above(i), 0.7).otherwise(0.3)).otherwise(0.0))
-    return _down(F.aggregate(costs, F.lit(0.0), lambda a, b: a + b) / most)
 
 
 def subject_verb_agreement(t: Column) -> Column:

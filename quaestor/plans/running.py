@@ -12,6 +12,7 @@ from quaestor.operators import annotate as N
 from quaestor.operators import metrics as M
 from quaestor.operators import evaluation, pipeline, rules, runner, wiring
 from quaestor.operators import similarity as S
+from quaestor.plans.annotated import _TOKENS, _in
 from quaestor.plans.core import query, r6, s6
 from quaestor.plans.similarity import PAIRS, pairs
 from quaestor.runtime import cut, scratch, table
@@ -171,7 +172,12 @@ def _senses(spark, sf):
     return x.groupBy("word").agg(F.greatest(F.lit(1), F.countDistinct("course_id")).cast("int").alias("senses"))
 
 
-@query()
+@query(
+    _TOKENS.replace("FROM questions_raw), w AS", "FROM (SELECT DISTINCT q_id, text FROM questions_raw)), w AS")
+    + "n AS (SELECT word, greatest(1, count(DISTINCT course_id)) AS senses FROM (SELECT course_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM questions_raw) GROUP BY word), "
+    + f"s AS (SELECT rid, avg(senses) AS raw FROM tok LEFT JOIN n ON n.word = tok.lw WHERE lw NOT IN {_in(rules.AUX)} AND (verb OR noun OR tag IN ('JJ', 'RB')) GROUP BY rid) "
+    + f"SELECT question_id, {s6('greatest(0.0, 1 - least(1.0, coalesce(raw, 0) / 10.0))')} AS score, 'courses' AS backend FROM q LEFT JOIN s USING (rid)"
+)
 def polysemy_score(spark, sf):
     """Mean number of senses of the open-class words of every question, with the stand-in table `courses`."""
     q = table(spark, sf, "questions_raw").select("q_id", "text").distinct().withColumn("k", F.struct("q_id", F.md5(txt(F.col("text"))).alias("m")))
